@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlake.llm import mixing
+from meshlake.llm import exact_dedup, mixing, url_filter
 from meshlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,5 +53,39 @@ SELECT doc_id, size, source_size, target,
 FROM ordered
 """
 
-QUERIES: dict[str, Query] = {"op1_mixing": op1_mixing}
-ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL}
+
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="max")
+
+
+OP3_SQL = """
+WITH docs AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
+best AS (SELECT *, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM docs)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(norm) AS text_sha256 FROM best
+"""
+
+#: The rules (host, path, verdict).
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP8_SQL = """
+WITH parts AS (
+  SELECT page_id, row_number() OVER () AS row_no, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+keys AS (
+  SELECT page_id, row_no, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+rules(r_host, r_path, r_verdict) AS (VALUES %s),
+fits AS (
+  SELECT k.row_no, r.*, row_number() OVER (PARTITION BY k.row_no ORDER BY length(r_host || r_path) DESC, length(r_host) DESC) AS place
+  FROM keys k JOIN rules r ON (k.host = r.r_host OR ends_with(k.host, '.' || r.r_host)) AND starts_with(k.path, r.r_path))
+SELECT k.page_id, k.host, k.path, f.r_host || f.r_path AS rule, coalesce(f.r_verdict, 'allow') AS verdict
+FROM keys k LEFT JOIN fits f ON f.row_no = k.row_no AND f.place = 1
+""" % ", ".join(map(str, URL_RULES))
+
+QUERIES: dict[str, Query] = {"op1_mixing": op1_mixing, "op3_exact_dedup": op3_exact_dedup, "op8_url_filter": op8_url_filter}
+ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op8_url_filter": OP8_SQL}
