@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+# functions of this package travel with the job, so workers need not have it installed
+cloudpickle.register_pickle_by_value(sys.modules["meshlake"])
+
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
@@ -51,3 +57,8 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None,
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def worker_cache() -> dict:
+    """What a Python worker keeps from one task to the next."""
+    return sys.modules.setdefault("_meshlake_cache", types.ModuleType("_meshlake_cache")).__dict__
