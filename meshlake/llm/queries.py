@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlake.llm import exact_dedup, mixing, url_filter
+from meshlake.llm import exact_dedup, mixing, simhash, url_filter
 from meshlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,5 +87,11 @@ SELECT k.page_id, k.host, k.path, f.r_host || f.r_path AS rule, coalesce(f.r_ver
 FROM keys k LEFT JOIN fits f ON f.row_no = k.row_no AND f.place = 1
 """ % ", ".join(map(str, URL_RULES))
 
-QUERIES: dict[str, Query] = {"op1_mixing": op1_mixing, "op3_exact_dedup": op3_exact_dedup, "op8_url_filter": op8_url_filter}
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_dedup(table(spark, sf_dir, "documents"), distance=4, words=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES: dict[str, Query] = {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op3_exact_dedup": op3_exact_dedup, "op8_url_filter": op8_url_filter}
 ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op8_url_filter": OP8_SQL}
