@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlake.llm import exact_dedup, mixing, simhash, url_filter
+from meshlake.llm import exact_dedup, mixing, quality, simhash, url_filter
 from meshlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,5 +93,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op3_exact_dedup": op3_exact_dedup, "op8_url_filter": op8_url_filter}
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES: dict[str, Query] = {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op3_exact_dedup": op3_exact_dedup, "op5_quality": op5_quality, "op8_url_filter": op8_url_filter}
 ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op8_url_filter": OP8_SQL}
