@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlake.llm import exact_dedup, mixing, quality, simhash, url_filter
+from meshlake.llm import exact_dedup, mixing, quality, secret_scan, simhash, url_filter
 from meshlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,5 +98,15 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Query] = {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op3_exact_dedup": op3_exact_dedup, "op5_quality": op5_quality, "op8_url_filter": op8_url_filter}
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    kinds = [rule.kind for rule in secret_scan.BASE_RULES]
+    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    of = lambda kind: F.filter("spans", lambda x: x["kind"] == kind)
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in kinds]
+    base = F.filter("spans", lambda x: x["kind"].isin(kinds))
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+QUERIES: dict[str, Query] = {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op3_exact_dedup": op3_exact_dedup, "op5_quality": op5_quality, "op7_secrets": op7_secrets, "op8_url_filter": op8_url_filter}
 ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op8_url_filter": OP8_SQL}
