@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlake.llm import exact_dedup, mixing, quality, secret_scan, simhash, url_filter
+from meshlake.llm import exact_dedup, lattice, mixing, quality, secret_scan, simhash, token_counts, url_filter
 from meshlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,5 +108,19 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
-QUERIES: dict[str, Query] = {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op3_exact_dedup": op3_exact_dedup, "op5_quality": op5_quality, "op7_secrets": op7_secrets, "op8_url_filter": op8_url_filter}
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes each text and decodes the pieces again; round_trip says whether that gave the text."""
+    plain = F.replace(F.coalesce("text", F.lit("")), F.lit("▁"), F.lit(" "))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(plain, 256).alias("sha"))
+    encoded = lattice.encode_documents(docs, ["doc_id", "sha"], n_best=3)
+    named = encoded.withColumn("ids_sha256", F.sha2(F.array_join("ids", ","), 256))
+    decoded = lattice.decode_documents(named, ["doc_id", "sha", "n_pieces", "scores", "ids_sha256"])
+    return decoded.select("doc_id", "n_pieces", F.element_at("scores", 1).alias("score"), "scores", "ids_sha256", (F.sha2("text", 256) == F.col("sha")).alias("round_trip"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), limit=4096)
+
+
+QUERIES: dict[str, Query] = {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op3_exact_dedup": op3_exact_dedup, "op4_sentencepiece": op4_sentencepiece, "op5_quality": op5_quality, "op6_token_counts": op6_token_counts, "op7_secrets": op7_secrets, "op8_url_filter": op8_url_filter}
 ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op8_url_filter": OP8_SQL}
