@@ -8,6 +8,7 @@ import re
 from meshlake.runtime import worker_cache
 
 SPACE = "▁"
+MILLION = 1_000_000
 
 
 def default_model() -> str:
@@ -34,8 +35,9 @@ class Vocabulary:
         self.longest = max(map(len, self.ids))
         # merge models score by rank, 0, -1, -2, ...: that is read as a logarithm of Zipf's law
         ranks = all(x <= 0 and x == int(x) for x in self.scores.values())
-        #: Logarithms of how likely each piece is, for paths over the lattice.
-        self.log_scores = {name: -math.log(2.0 - x) for name, x in self.scores.items()} if ranks else self.scores
+        #: Logarithms of how likely each piece is, for paths over the lattice, in whole
+        #: millionths: sums of whole numbers are exact, and equal paths compare as equal.
+        self.log_scores = {name: round(MILLION * (-math.log(2.0 - x) if ranks else x)) for name, x in self.scores.items()}
         if any(SPACE in name.lstrip(SPACE) for name in self.ids):
             raise ValueError("the model has pieces with a space inside, so words are not independent")
         inside = {c for name in self.ids for c in name}

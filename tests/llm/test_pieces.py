@@ -52,7 +52,7 @@ def test_count_documents(spark):
 def all_paths(own, unit):
     """Every segmentation of a unit with its score."""
     if not unit:
-        return [(0.0, ())]
+        return [(0, ())]
     out = []
     for start, score, ids in own.edges(unit, len(unit)):
         out += [(s + score, p + ids) for s, p in all_paths(own, unit[:start])]
@@ -65,7 +65,7 @@ def test_n_best_equals_brute_force():
     for _ in range(200):
         unit = "".join(rng.choices("▁theranins日𝒳", k=rng.randint(1, 9)))
         every = sorted((s for s, _ in all_paths(own, unit)), reverse=True)[:4]
-        assert [s for s, _ in own.n_paths(unit)] == pytest.approx(every)
+        assert [s for s, _ in own.n_paths(unit)] == every
 
 
 def test_n_best_of_a_text_combines_units():
@@ -75,10 +75,9 @@ def test_n_best_of_a_text_combines_units():
         sums = sorted((sum(x) for x in itertools.product(*[[s for s, _ in own.n_paths(u)] for u in units])), reverse=True)[:3] if len(units) < 7 else None
         ids, scores = own.encode(text)
         if sums is not None:
-            assert scores == pytest.approx(sums)
+            assert scores == [x / pieces.MILLION for x in sums]
         listed = own.n_encodings(text)
-        assert [s for s, _ in listed] == pytest.approx(scores)
-        assert listed[0][0] == pytest.approx(scores[0]) and len(listed[0][1]) >= 0
+        assert [s / pieces.MILLION for s, _ in listed] == scores
         for _, path in listed:
             assert lattice.decode(own.vocab, path) == text.replace("▁", " ")
 
