@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlake.llm import exact_dedup, lattice, mixing, quality, secret_scan, simhash, token_counts, url_filter
+from meshlake.llm import exact_dedup, lattice, line_dedup, mixing, quality, secret_scan, simhash, token_counts, url_filter
 from meshlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,5 +122,28 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), limit=4096)
 
 
-QUERIES: dict[str, Query] = {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op3_exact_dedup": op3_exact_dedup, "op4_sentencepiece": op4_sentencepiece, "op5_quality": op5_quality, "op6_token_counts": op6_token_counts, "op7_secrets": op7_secrets, "op8_url_filter": op8_url_filter}
-ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op8_url_filter": OP8_SQL}
+#: A line on this many distinct sources is boilerplate.
+MIN_SITES = 15
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = line_dedup.line_dedup(table(spark, sf_dir, "documents"), min_sites=MIN_SITES)
+    return changed.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+OP10_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+keyed AS (
+  SELECT *, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS key, regexp_matches(line, '[^\x20\x09-\x0D]') AS has_word FROM lines),
+spread AS (
+  SELECT key, min(doc_id) AS first_id FROM keyed WHERE has_word GROUP BY key HAVING count(DISTINCT coalesce('=' || source, '')) >= %d),
+judged AS (
+  SELECT k.*, s.key IS NOT NULL AND k.doc_id IS DISTINCT FROM s.first_id AS gone FROM keyed k LEFT JOIN spread s ON k.has_word AND k.key = s.key)
+SELECT doc_id, count(*) FILTER (has_word) AS n_lines, count(*) FILTER (gone) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS text_sha256
+FROM judged GROUP BY doc_id
+""" % MIN_SITES
+
+QUERIES: dict[str, Query] = {"op1_mixing": op1_mixing, "op10_line_dedup": op10_line_dedup, "op2_simhash": op2_simhash, "op3_exact_dedup": op3_exact_dedup, "op4_sentencepiece": op4_sentencepiece, "op5_quality": op5_quality, "op6_token_counts": op6_token_counts, "op7_secrets": op7_secrets, "op8_url_filter": op8_url_filter}
+ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op10_line_dedup": OP10_SQL, "op3_exact_dedup": OP3_SQL, "op8_url_filter": OP8_SQL}
