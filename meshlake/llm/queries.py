@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlake.llm import exact_dedup, lattice, line_dedup, mixing, quality, secret_scan, simhash, token_counts, url_filter
+from meshlake.llm import exact_dedup, lattice, line_dedup, mixing, quality, run_index, secret_scan, simhash, token_counts, url_filter
 from meshlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,5 +145,10 @@ SELECT doc_id, count(*) FILTER (has_word) AS n_lines, count(*) FILTER (gone) AS
 FROM judged GROUP BY doc_id
 """ % MIN_SITES
 
-QUERIES: dict[str, Query] = {"op1_mixing": op1_mixing, "op10_line_dedup": op10_line_dedup, "op2_simhash": op2_simhash, "op3_exact_dedup": op3_exact_dedup, "op4_sentencepiece": op4_sentencepiece, "op5_quality": op5_quality, "op6_token_counts": op6_token_counts, "op7_secrets": op7_secrets, "op8_url_filter": op8_url_filter}
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = run_index.repeated_passages(table(spark, sf_dir, "documents"), least=400)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), "kept_sha256")
+
+
+QUERIES: dict[str, Query] = {"op1_mixing": op1_mixing, "op10_line_dedup": op10_line_dedup, "op2_simhash": op2_simhash, "op3_exact_dedup": op3_exact_dedup, "op4_sentencepiece": op4_sentencepiece, "op5_quality": op5_quality, "op6_token_counts": op6_token_counts, "op7_secrets": op7_secrets, "op8_url_filter": op8_url_filter, "op9_repeats": op9_repeats}
 ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op10_line_dedup": OP10_SQL, "op3_exact_dedup": OP3_SQL, "op8_url_filter": OP8_SQL}
