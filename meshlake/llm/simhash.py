@@ -8,8 +8,8 @@ the join apart, so that each pair meets once a segment. Every pair that meets is
 
 Equal fingerprints are one row. In each bucket all fingerprints are first compared with
 its smallest, which makes at most one link a row; components of these links are found, and
-buckets that lie within one component are dropped. Only what is left in mixed buckets is
-compared pair by pair, and only across components. So no group of copies is expanded into
+large buckets that lie within one component are dropped. Only what is left is compared pair
+by pair within its bucket, and only pairs across components leave the join. So no group of copies is expanded into
 its pairs, and no link between components is lost.
 """
 
@@ -56,26 +56,43 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp) for each row."""
+def fingerprints(docs: DataFrame, words: int = 4, text: str = "text", doc_id: str = "doc_id", extra: list[str] | None = None) -> DataFrame:
+    """(doc_id, fp, extra columns) for each row."""
     kind = docs.schema[doc_id].dataType
+    more = extra or []
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": np.array([fingerprint(x, words) for x in batch["text"]], np.int64)})
+            out = batch[["doc_id", *more]].copy()
+            out.insert(1, "fp", np.array([fingerprint(x, words) for x in batch["text"]], np.int64))
+            yield out
 
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     # a nullable identifier must not become a float on its way
-    if isinstance(kind, T.IntegralType):
-        own = own.withColumn("doc_id", F.col("doc_id").cast("string"))
-        made = own.mapInPandas(each, T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("fp", T.LongType())]))
-        return made.withColumn("doc_id", F.col("doc_id").cast(kind))
-    return own.mapInPandas(each, T.StructType([T.StructField("doc_id", kind), T.StructField("fp", T.LongType())]))
+    sent = T.StringType() if isinstance(kind, T.IntegralType) else kind
+    own = docs.select(F.col(doc_id).cast(sent).alias("doc_id"), F.col(text).cast("string").alias("text"), *more)
+    made = own.mapInPandas(each, T.StructType([T.StructField("doc_id", sent), T.StructField("fp", T.LongType()), *[docs.schema[c] for c in more]]))
+    return made.withColumn("doc_id", F.col("doc_id").cast(kind))
+
+
+def keep_one(docs: DataFrame, distance: int, words: int) -> DataFrame:
+    """The rows of docs less near copies: of each component the one with the smallest doc_id.
+
+    A null doc_id comes last; of rows with the same identifier one stays. All columns are
+    unchanged.
+    """
+    own = docs.withColumn("__th", F.xxhash64("text"))
+    fps = materialize(fingerprints(own, words, extra=["__th"]), "docs")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("__th")))
+    sizes = materialize(fps.groupBy("fp").agg(first.alias("first")), "sizes")
+    members = sizes.join(near_components(sizes, distance), "fp")
+    stays = members.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.__th").alias("__th2"))
+    both = (own["__th"] == F.col("__th2")) & own["doc_id"].eqNullSafe(F.col("__id"))
+    return own.join(stays, both, "left_semi").dropDuplicates(["doc_id", "__th"]).drop("__th")
 
 
 def segments(distance: int, bits: int = 64) -> list[tuple[int, int]]:
-    """(first bit, length) of the fewest segments of which one differs by one bit at most."""
-    n = distance // 2 + 1
+    """(first bit, length) of the fewest segments, two at least, of which one differs by one bit at most."""
+    n = max(2, distance // 2 + 1)
     return [(i * bits // n, (i + 1) * bits // n - i * bits // n) for i in range(n)]
 
 
@@ -111,17 +128,20 @@ def near_components(fps: DataFrame, distance: int = 4, fp: str = "fp") -> DataFr
     index = distinct.select("fp", F.explode(F.concat(whole, variants)).alias("k")).select("fp", "k.key", "k.bit")
 
     # first pass: each bucket against its smallest fingerprint
-    heads = index.groupBy("key").agg(F.min("fp").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    heads = index.groupBy("key").agg(F.min("fp").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     heads = materialize(heads, "heads")
-    links = index.join(heads, "key").where((F.col("fp") != F.col("head")) & near(F.col("fp"), F.col("head"), distance))
+    links = index.join(heads.drop("n"), "key").where((F.col("fp") != F.col("head")) & near(F.col("fp"), F.col("head"), distance))
     first = connected_components(materialize(links.select(F.col("fp").alias("a"), F.col("head").alias("b")).distinct(), "links"))
     part = distinct.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("part"))
     part = materialize(part, "parts")
 
-    # second pass: what differs in component within a bucket
+    # second pass: what differs in component within a bucket. Large buckets that lie within one
+    # component are left out first; large is well above what chance puts into a bucket
     index = part.select("fp", "part", F.explode(F.concat(whole, variants)).alias("k")).select("fp", "part", "k.key", "k.bit")
-    mixed = index.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    index = materialize(index.join(mixed, "key", "left_semi"), "mixed")
+    by_chance = part.count() >> (64 // len(segments(distance)) - 1)
+    large = materialize(heads.where(F.col("n") >= 16 + 8 * by_chance).select("key"), "large")
+    within = index.join(large, "key").groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low = high").select("key")
+    index = index.join(materialize(within, "within"), "key", "left_anti")
     left = index.where("bit in (0, 2)").select("key", F.col("fp").alias("fa"), F.col("part").alias("a"), F.col("bit").alias("side"))
     right = index.where("bit in (1, 2)").select("key", F.col("fp").alias("fb"), F.col("part").alias("b"))
     across = left.join(right, (left["key"] == right["key"]) & (F.col("a") != F.col("b")) & ((F.col("side") == 0) | (F.col("fa") < F.col("fb"))) & near(F.col("fa"), F.col("fb"), distance))
