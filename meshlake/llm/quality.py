@@ -150,8 +150,8 @@ def mcd(rows: DataFrame, group: list[str], stats: tuple[str, ...] = STATS, share
     return params
 
 
-def judge(docs: DataFrame, cutoff: float = 60.0, least: int = 80, floor: tuple[float, ...] = FLOOR, share: float = 0.75, steps: int = 4) -> DataFrame:
-    """One row per document: doc_id, the base counts, base_failed, d2, kept.
+def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), cutoff: float = 60.0, least: int = 80, floor: tuple[float, ...] = FLOOR, share: float = 0.75, steps: int = 4) -> DataFrame:
+    """One row per document: the columns of keep, the base counts, base_failed, d2, kept.
 
     A document that the base rules pass is rejected if its squared distance from the
     estimate of its language and source is above cutoff. A null language or source is a group of its own. Groups of fewer than least
@@ -162,18 +162,27 @@ def judge(docs: DataFrame, cutoff: float = 60.0, least: int = 80, floor: tuple[f
     """
     if not math.isfinite(cutoff) or cutoff <= 0:
         raise ValueError("cutoff is a positive number")
-    named = docs.select("doc_id", text_of().alias("text"), *[F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")).alias(f"g_{c}") for c in ("lang", "source")])
-    counts = base_counts(named, ["doc_id", "g_lang", "g_source"]).withColumn("base_failed", base_failed())
+    named = docs.select(*keep, text_of().alias("text"), *[F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")).alias(f"g_{c}") for c in ("lang", "source")])
+    counts = base_counts(named, [*keep, "g_lang", "g_source"]).withColumn("base_failed", base_failed())
     counts = materialize(counts.select("*", *statistics()), "counts")
     passed = counts.where("not base_failed").withColumn("g_all", F.lit("all")).select("g_lang", "g_source", "g_all", *STATS)
-    levels = [["g_lang", "g_source"], ["g_lang"], ["g_all"]]
-    judged = counts.withColumn("g_all", F.lit("all"))
-    d2 = F.lit(None).cast("double")
-    values = []
-    for level in levels:
+    judged = counts.withColumn("g_all", F.lit("all")).withColumn("d2", F.lit(None).cast("double"))
+    for level in (["g_lang", "g_source"], ["g_lang"], ["g_all"]):
         params = mcd(passed, level, least=least, floor=floor, share=share, steps=steps)
-        judged = small_join(judged, params, level, "left").withColumn(f"d2_{len(level)}{level[0]}", _distance(STATS))
-        values.append(f"d2_{len(level)}{level[0]}")
-        judged = judged.select(*[c for c in judged.columns if c not in params.columns or c in level])
-    d2 = F.coalesce(*[F.col(v) for v in values])
-    return judged.withColumn("d2", d2).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", (~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= F.lit(cutoff))).alias("kept"))
+        own = [c for c in params.columns if c not in level]
+        judged = small_join(judged, params, level, "left").withColumn("d2", F.coalesce("d2", _distance(STATS))).drop(*own)
+        # the wider estimates are for documents whose group was too small
+        if not judged.where("d2 is null and not base_failed").limit(1).count():
+            break
+    fits = F.coalesce(F.col("d2"), F.lit(0.0)) <= F.lit(cutoff)
+    return judged.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", (~F.col("base_failed") & fits).alias("kept"))
+
+
+def keep_good(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs that the rules keep, all columns unchanged. Options are those of judge."""
+    identity = F.xxhash64("doc_id", "text", "lang", "source")
+    judged = judge(docs.withColumn("__key", identity), keep=("doc_id", "__key"), **options)
+    rejected = judged.where("not kept").select(F.col("doc_id").alias("__id"), F.col("__key").alias("__key2")).distinct()
+    keyed = docs.withColumn("__key", identity)
+    both = (keyed["__key"] == F.col("__key2")) & keyed["doc_id"].eqNullSafe(F.col("__id"))
+    return keyed.join(rejected, both, "left_anti").drop("__key")
