@@ -32,8 +32,8 @@ KMER = 48
 #: Positions handled at a time; a position takes the lowest 20 bits of an anchor's rank.
 STEP = 1 << 19
 LOW = np.uint64((1 << 20) - 1)
-#: Distinct contexts of an anchor that go into one index; beyond it windows are counted.
-MOST = 256
+#: Distinct contexts of an anchor that go into one index, of some 3 MB then; beyond it windows are counted.
+MOST = 4096
 #: Bytes of an index's block, and of a batch on its way to Spark.
 BLOCK = 1 << 20
 BATCH = 8 << 20
@@ -139,13 +139,13 @@ class RunIndex:
             return order, rank, bool(new[-1] == n - 1)
 
         order, rank, done = ranked(x)
-        levels, h = [(1, rank)], 1
+        levels, h = [(1, rank.astype(np.int32))], 1
         while not done:
             ahead = np.full(n, -1, np.int64)
             ahead[: n - h] = rank[h:]
             order, rank, done = ranked(rank * (n + 1) + ahead + 1)
             h *= 2
-            levels.append((h, rank))
+            levels.append((h, rank.astype(np.int32)))
         return order, levels
 
     @staticmethod
