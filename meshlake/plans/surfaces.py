@@ -46,12 +46,12 @@ _EDGE = f"edge AS (SELECT DISTINCT a, b FROM ({c._edges('1 AS one')})), nb AS (S
 _HC = ", ".join(f"avg(q.{a}) AS m{a}" for a in "xyz")
 
 
-@query(f"WITH {c.SIDES}{c.NODES}, {_EDGE}, m AS (SELECT nb.a AS nid, {_HC} FROM nb JOIN node q ON q.nid = nb.b GROUP BY nb.a), b AS (SELECT n.nid, " + ", ".join(f"coalesce(m{a}, {a}) AS p{a}, coalesce(m{a}, {a}) - (0.5 * {a} + 0.5 * {a}) AS w{a}" for a in "xyz") + " FROM node n LEFT JOIN m USING (nid)), k AS (SELECT nb.a AS nid, " + ", ".join(f"avg(b.w{a}) AS k{a}" for a in "xyz") + " FROM nb JOIN b ON b.nid = nb.b GROUP BY nb.a) SELECT b.nid, " + ", ".join(f"round(p{a} - (0.5 * w{a} + 0.5 * coalesce(k{a}, w{a})), 6) AS {a}" for a in "xyz") + " FROM b LEFT JOIN k USING (nid)")
+@query(f"WITH {c.SIDES}{c.NODES}, {_EDGE}, m AS (SELECT nb.a AS nid, {_HC} FROM nb JOIN node q ON q.nid = nb.b GROUP BY nb.a), b AS (SELECT n.nid, " + ", ".join(f"coalesce(m{a}, {a}) AS p{a}, coalesce(m{a}, {a}) - (0.5 * {a} + 0.5 * {a}) AS w{a}" for a in "xyz") + " FROM node n LEFT JOIN m USING (nid)), k AS (SELECT nb.a AS nid, " + ", ".join(f"avg(b.w{a}) AS k{a}" for a in "xyz") + " FROM nb JOIN b ON b.nid = nb.b GROUP BY nb.a) SELECT b.nid, " + ", ".join(f"round(p{a} - (0.5 * w{a} + 0.5 * coalesce(k{a}, w{a})) + 1e-9, 6) AS {a}" for a in "xyz") + " FROM b LEFT JOIN k USING (nid)")
 def surface_smoothing(spark, sf_dir):
     """One laplacianhc pass over the edges of the region surfaces."""
     edges = mesh.face_edges(c.face_extraction(spark, sf_dir)).distinct()
     out = surfaces.smooth(c.nodes(spark, sf_dir), edges)
-    return out.select("nid", *[F.round(a, 6).alias(a) for a in "xyz"])
+    return out.select("nid", *[F.round(F.col(a) + 1e-9, 6).alias(a) for a in "xyz"])
 
 
 _CUT = " UNION ALL ".join(f"SELECT tid, label, p{i}x + (2.3 - p{i}z) / (p{j}z - p{i}z) * (p{j}x - p{i}x) AS u, p{i}y + (2.3 - p{i}z) / (p{j}z - p{i}z) * (p{j}y - p{i}y) AS v FROM pts WHERE least(p{i}z, p{j}z) < 2.3 AND greatest(p{i}z, p{j}z) >= 2.3" for i in range(4) for j in range(i + 1, 4))
