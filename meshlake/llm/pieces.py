@@ -32,6 +32,9 @@ class Vocabulary:
         self.scores = {self.names[i]: float(processor.get_score(i)) for i in own}
         self.byte_ids = {int(self.names[i][3:5], 16): i for i in range(n) if processor.is_byte(i)}
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
+        #: Byte pieces that are no character by themselves, and what all others stand for.
+        self.partial = {i for i, b in self.byte_of.items() if b >= 128}
+        self.plain = [chr(self.byte_of[i]) if self.byte_of.get(i, 128) < 128 else name for i, name in enumerate(self.names)]
         self.longest = max(map(len, self.ids))
         # merge models score by rank, 0, -1, -2, ...: that is read as a logarithm of Zipf's law
         ranks = all(x <= 0 and x == int(x) for x in self.scores.values())
@@ -40,11 +43,34 @@ class Vocabulary:
         self.log_scores = {name: round(MILLION * (-math.log(2.0 - x) if ranks else x)) for name, x in self.scores.items()}
         if any(SPACE in name.lstrip(SPACE) for name in self.ids):
             raise ValueError("the model has pieces with a space inside, so words are not independent")
-        inside = {c for name in self.ids for c in name}
-        #: ASCII characters that no piece holds: each is a unit of its own.
-        alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in inside and chr(c) != " ")
+        #: Every start of a piece, whole pieces included.
+        self.prefixes = {name[:k] for name in self.ids for k in range(1, len(name) + 1)}
         #: No piece crosses the border of two units.
-        self.unit = re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+|[{alone}]" if alone else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        self.unit = re.compile(self._unit_pattern())
+
+    def _unit_pattern(self) -> str:
+        """Spaces and then a run of characters that pieces may join, or one that none joins to another.
+
+        Two characters that stand side by side in a piece are of one class, and so are
+        those linked through others; a border between classes is crossed by no piece.
+        """
+        parent: dict[str, str] = {}
+
+        def find(c: str) -> str:
+            while parent.setdefault(c, c) != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        for name in self.ids:
+            core = name.lstrip(SPACE)
+            for x, y in zip(core, core[1:], strict=False):
+                parent[find(x)] = find(y)
+        classes: dict[str, list[str]] = {}
+        for c in parent:
+            classes.setdefault(find(c), []).append(c)
+        runs = sorted(("".join(sorted(c)) for c in classes.values()), key=lambda c: (-len(c), c))
+        joined = "|".join(f"[{re.escape(c)}]+" for c in runs)
+        return f"(?s:{SPACE}*(?:{joined}|[^{SPACE}])|{SPACE}+)"
 
     def normalize(self, text: str | None) -> str:
         """The text as the model sees it: spaces marked, and one in front. Empty stays empty."""
@@ -60,3 +86,26 @@ def vocabulary(model: str) -> Vocabulary:
     if key not in cache:
         cache[key] = Vocabulary(model)
     return cache[key]
+
+
+class Generations(dict):
+    """A bounded cache: what was not used since the last change of generation goes."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def __missing__(self, key):
+        value = self.old[key] if key in self.old else self.make(key)
+        if self.keeps(key):
+            if len(self) >= self.most // 2:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+    def make(self, key):
+        raise NotImplementedError
+
+    def keeps(self, key) -> bool:
+        return True

@@ -108,11 +108,15 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+#: Segmentations of a text whose scores are kept.
+N_BEST = 2
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes each text and decodes the pieces again; round_trip says whether that gave the text."""
     plain = F.replace(F.coalesce("text", F.lit("")), F.lit("▁"), F.lit(" "))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(plain, 256).alias("sha"))
-    encoded = lattice.encode_documents(docs, ["doc_id", "sha"], n_best=3)
+    encoded = lattice.encode_documents(docs, ["doc_id", "sha"], n_best=N_BEST)
     named = encoded.withColumn("ids_sha256", F.sha2(F.array_join("ids", ","), 256))
     decoded = lattice.decode_documents(named, ["doc_id", "sha", "n_pieces", "scores", "ids_sha256"])
     return decoded.select("doc_id", "n_pieces", F.element_at("scores", 1).alias("score"), "scores", "ids_sha256", (F.sha2("text", 256) == F.col("sha")).alias("round_trip"))

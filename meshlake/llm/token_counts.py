@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlake.llm.pieces import Vocabulary, default_model, vocabulary
+from meshlake.llm.pieces import Generations, Vocabulary, default_model, vocabulary
 from meshlake.runtime import worker_cache
 
 #: Bounds of what a worker keeps compiled.
@@ -38,9 +38,10 @@ CHUNK = 1 << 16
 class Transducer:
     """Transitions (state, character) to (state, tokens added), compiled on demand.
 
-    A state is (the last characters, the last token at each of the last borders between
-    characters, the tokens up to each of them counted back from now). At the border where
-    a unit starts there is no token.
+    A state is (the last characters, the borders before or between them from which a piece
+    may still reach beyond now, the last token at each, the tokens up to each counted back
+    from now). At the border where a unit starts there is no token. Borders that no longer
+    matter are left out, so words that end alike share their states.
     """
 
     def __init__(self, vocab: Vocabulary):
@@ -54,7 +55,7 @@ class Transducer:
         self.numbers: dict[tuple, int] = {}
         self.states: list[tuple] = []
         self.steps: list[dict[str, tuple[int, int]]] = []
-        self.start = self.number(("", (None,), (0,)))
+        self.start = self.number(("", (0,), (None,), (0,)))
 
     def number(self, state: tuple) -> int:
         if state not in self.numbers:
@@ -96,17 +97,19 @@ class Transducer:
         return 1 if token in self.vocab.ids else len(token.encode("utf-8"))
 
     def compile(self, number: int, c: str) -> tuple[int, int]:
-        chars, last, back = self.states[number]
+        chars, borders, last, back = self.states[number]
         chars += c
-        n, most = len(last), self.vocab.longest
-        for size in range(n, 0, -1):
-            token, before = chars[-size:], last[n - size]
+        for border, before, behind in zip(borders, last, back, strict=True):
+            token = chars[border:]
             if self.stands(token) and (before is None or self.follow(before, token)):
                 break
         else:
             raise AssertionError("no token ends here")
-        added = back[n - size] + self.weight(token)
-        state = (chars[-(most - 1) :], (*last, token)[-most:], (*(b - added for b in back), 0)[-most:])
+        added = behind + self.weight(token)
+        alive = [(b, t, n - added) for b, t, n in zip(borders, last, back, strict=True) if chars[b:] in self.vocab.prefixes]
+        alive.append((len(chars), token, 0))
+        first = alive[0][0]
+        state = (chars[first:], tuple(b - first for b, _, _ in alive), tuple(t for _, t, _ in alive), tuple(n for _, _, n in alive))
         if len(self.states) > MOST_STATES:
             self.reset()
             return self.number(state), added
@@ -160,20 +163,18 @@ class Transducer:
         return self.units[head] + between + (self.units[tail] if tail is not None else 0)
 
 
-class _Units(dict):
+class _Units(Generations):
     """Macro transitions: the tokens of whole units met before."""
 
     def __init__(self, owner: Transducer):
-        super().__init__()
+        super().__init__(MOST_UNITS)
         self.owner = owner
 
-    def __missing__(self, unit: str) -> int:
-        found = self.owner.run(unit)
-        if len(unit) <= LONG_UNIT:
-            if len(self) >= MOST_UNITS:
-                self.clear()
-            self[unit] = found
-        return found
+    def make(self, key: str) -> int:
+        return self.owner.run(key)
+
+    def keeps(self, key: str) -> bool:
+        return len(key) <= LONG_UNIT
 
 
 def transducer(model: str) -> Transducer:

@@ -54,7 +54,7 @@ def all_paths(own, unit):
     if not unit:
         return [(0, ())]
     out = []
-    for start, score, ids in own.edges(unit, len(unit)):
+    for start, score, ids in own.forward(unit)[1][len(unit)]:
         out += [(s + score, p + ids) for s, p in all_paths(own, unit[:start])]
     return out
 
