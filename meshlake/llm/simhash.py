@@ -30,8 +30,8 @@ SEED = 42
 SHINGLES_A_STEP = 1 << 16
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """The fingerprint of a whole text, as a signed 64-bit number.
+def fingerprint(text: str | None, words: int = 4, distinct: bool = False) -> int:
+    """The fingerprint of a whole text, as a signed 64-bit number; distinct counts each shingle once.
 
     Words are split at the six ASCII blanks and A-Z lower-cased, both of which bytes do.
     A bit is set if over half the shingles' hashes set it; no shingle gives zero.
@@ -49,7 +49,11 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     spans = zip(starts[:n].tolist(), ends[min(words, len(found)) - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
     counts = np.zeros(64, np.int64)
-    hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in spans), np.uint64, n)
+    parts = [joined[s:e] for s, e in spans]
+    if distinct:
+        parts = set(parts)
+        n = len(parts)
+    hashes = np.fromiter((digest(p, SEED) for p in parts), np.uint64, n)
     for k in range(0, n, SHINGLES_A_STEP):
         bits = np.unpackbits(hashes[k : k + SHINGLES_A_STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
@@ -74,17 +78,37 @@ def fingerprints(docs: DataFrame, words: int = 4, text: str = "text", doc_id: st
     return made.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
-def keep_one(docs: DataFrame, distance: int, words: int) -> DataFrame:
+def twin_fingerprints(docs: DataFrame, narrow: int, wide: int, extra: list[str]) -> DataFrame:
+    """(doc_id, extra columns, fp struct<f, g>): fingerprints over distinct shingles of narrow and of wide words."""
+    kind = docs.schema["doc_id"].dataType
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = batch[["doc_id", *extra]].copy()
+            for name, words in (("f", narrow), ("g", wide)):
+                out[name] = np.array([fingerprint(x, words, True) for x in batch["text"]], np.int64)
+            yield out
+
+    sent = T.StringType() if isinstance(kind, T.IntegralType) else kind
+    own = docs.select(F.col("doc_id").cast(sent).alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
+    made = own.mapInPandas(each, T.StructType([T.StructField("doc_id", sent), *[docs.schema[c] for c in extra], T.StructField("f", T.LongType()), T.StructField("g", T.LongType())]))
+    return made.select(F.col("doc_id").cast(kind).alias("doc_id"), *extra, F.struct("f", "g").alias("fp"))
+
+
+def keep_one(docs: DataFrame, distance: int = 7, words: int = 5, also: int = 14, narrow: int = 2) -> DataFrame:
     """The rows of docs less near copies: of each component the one with the smallest doc_id.
 
-    A null doc_id comes last; of rows with the same identifier one stays. All columns are
-    unchanged.
+    An edit changes fewer shingles of two words than of five, so copies that share 0.8 of
+    their distinct five-word shingles are mostly within distance bits in the fingerprint of
+    narrow shingles, which is what is indexed. A link also asks that the fingerprints of
+    wide shingles differ in at most also bits, as those of unlike texts do not. A null doc_id
+    comes last; of rows with the same identifier one stays. All columns are unchanged.
     """
     own = docs.withColumn("__th", F.xxhash64("text"))
-    fps = materialize(fingerprints(own, words, extra=["__th"]), "docs")
+    fps = materialize(twin_fingerprints(own, narrow, words, ["__th"]), "docs")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("__th")))
     sizes = materialize(fps.groupBy("fp").agg(first.alias("first")), "sizes")
-    members = sizes.join(near_components(sizes, distance), "fp")
+    members = sizes.join(near_components(sizes, distance, also), "fp")
     stays = members.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.__th").alias("__th2"))
     both = (own["__th"] == F.col("__th2")) & own["doc_id"].eqNullSafe(F.col("__id"))
     return own.join(stays, both, "left_semi").dropDuplicates(["doc_id", "__th"]).drop("__th")
@@ -121,16 +145,21 @@ def near(a: Column, b: Column, distance: int) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= distance
 
 
-def near_components(fps: DataFrame, distance: int = 4, fp: str = "fp") -> DataFrame:
-    """(fp, component) of distinct fingerprints linked at distance bits or fewer; component is a fingerprint."""
-    distinct = materialize(fps.select(F.col(fp).alias("fp")).distinct(), "fps")
-    whole, variants = _keys(F.col("fp"), distance)
+def near_components(fps: DataFrame, distance: int = 4, also: int | None = None) -> DataFrame:
+    """(fp, component) of distinct fingerprints linked at distance bits or fewer; component is a fingerprint.
+
+    With also, fp is struct<f, g>, f is what is indexed, and a link asks that g differs in
+    at most also bits too.
+    """
+    linked = lambda a, b: near(a, b, distance) if also is None else near(a["f"], b["f"], distance) & near(a["g"], b["g"], also)
+    distinct = materialize(fps.select("fp").distinct(), "fps")
+    whole, variants = _keys(F.col("fp") if also is None else F.col("fp.f"), distance)
     index = distinct.select("fp", F.explode(F.concat(whole, variants)).alias("k")).select("fp", "k.key", "k.bit")
 
     # first pass: each bucket against its smallest fingerprint
     heads = index.groupBy("key").agg(F.min("fp").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     heads = materialize(heads, "heads")
-    links = index.join(heads.drop("n"), "key").where((F.col("fp") != F.col("head")) & near(F.col("fp"), F.col("head"), distance))
+    links = index.join(heads.drop("n"), "key").where((F.col("fp") != F.col("head")) & linked(F.col("fp"), F.col("head")))
     first = connected_components(materialize(links.select(F.col("fp").alias("a"), F.col("head").alias("b")).distinct(), "links"))
     part = distinct.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("part"))
     part = materialize(part, "parts")
@@ -144,7 +173,7 @@ def near_components(fps: DataFrame, distance: int = 4, fp: str = "fp") -> DataFr
     index = index.join(materialize(within, "within"), "key", "left_anti")
     left = index.where("bit in (0, 2)").select("key", F.col("fp").alias("fa"), F.col("part").alias("a"), F.col("bit").alias("side"))
     right = index.where("bit in (1, 2)").select("key", F.col("fp").alias("fb"), F.col("part").alias("b"))
-    across = left.join(right, (left["key"] == right["key"]) & (F.col("a") != F.col("b")) & ((F.col("side") == 0) | (F.col("fa") < F.col("fb"))) & near(F.col("fa"), F.col("fb"), distance))
+    across = left.join(right, (left["key"] == right["key"]) & (F.col("a") != F.col("b")) & ((F.col("side") == 0) | (F.col("fa") < F.col("fb"))) & linked(F.col("fa"), F.col("fb")))
     second = connected_components(materialize(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across"))
     return part.join(second.withColumnRenamed("node", "part"), "part", "left").select("fp", F.coalesce("component", "part").alias("component"))
 

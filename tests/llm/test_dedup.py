@@ -89,11 +89,11 @@ def test_components_of_dense_fingerprints(spark, distance):
 
 
 def test_keep_one(docs, rows, none):
-    got = simhash.keep_one(docs, 4, 5)
+    got = simhash.keep_one(docs)
     assert got.columns == docs.columns
     ids = [r.doc_id for r in got.collect()]
     assert len(ids) == len(set(ids)) and 0 in ids and 1000 not in ids and 1001 not in ids and None in ids
-    assert simhash.keep_one(none, 4, 5).collect() == [] and simhash.near_dedup(none).collect() == []
+    assert simhash.keep_one(none).collect() == [] and simhash.near_dedup(none).collect() == []
 
 
 def brute_lines(rows, min_sites):
@@ -127,3 +127,22 @@ def test_spread_near_the_threshold_is_exact(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     found = line_dedup.boilerplate(line_dedup.numbered_lines(docs), 40, lg_k=6).count()
     assert found == 5
+
+
+def test_keep_one_drops_near_copies_and_keeps_others(spark):
+    import random
+
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghijkl", k=6)) for _ in range(4000)]
+    rows, group = [], {}
+    for g in range(40):
+        base = rng.choices(words, k=220)
+        for k in range(4):
+            text = list(base)
+            for at in rng.sample(range(220), min(k, 3)):
+                text[at] = rng.choice(words)
+            group[len(rows)] = g
+            rows.append((len(rows), " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [r.doc_id for r in simhash.keep_one(docs).collect()]
+    assert {group[i] for i in kept} == set(range(40)) and len(kept) <= 46
