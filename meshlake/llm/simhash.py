@@ -28,6 +28,8 @@ from meshlake.runtime import materialize
 
 SEED = 42
 SHINGLES_A_STEP = 1 << 16
+#: Near copies share at least this part of their shingles, as a whole-number ratio.
+SHARE = (4, 5)
 
 
 def fingerprint(text: str | None, words: int = 4, distinct: bool = False) -> int:
@@ -78,42 +80,106 @@ def fingerprints(docs: DataFrame, words: int = 4, text: str = "text", doc_id: st
     return made.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
-def twin_fingerprints(docs: DataFrame, narrow: int, wide: int, extra: list[str]) -> DataFrame:
-    """(doc_id, extra columns, fp struct<f, g>): fingerprints over distinct shingles of narrow and of wide words."""
-    kind = docs.schema["doc_id"].dataType
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """The sorted hashes of a text's distinct shingles, split as for fingerprint; of a shorter text its one."""
+    import xxhash
+
+    found = (text or "").encode("utf-8").lower().split()
+    if not found:
+        return np.empty(0, np.uint64)
+    parts = {b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))}
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in parts), np.uint64, len(parts)))
+
+
+def _each_text(docs: DataFrame, keep: list[str], schema: str, make) -> DataFrame:
+    """The columns of keep and those that make gives for a text."""
+    fields = T._parse_datatype_string(schema).fieldNames()
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = batch[["doc_id", *extra]].copy()
-            for name, words in (("f", narrow), ("g", wide)):
-                out[name] = np.array([fingerprint(x, words, True) for x in batch["text"]], np.int64)
-            yield out
+            out = batch[keep].copy()
+            for name, values in zip(fields, zip(*map(make, batch["text"]), strict=True), strict=False):
+                out[name] = list(values)
+            if len(out):
+                yield out
 
-    sent = T.StringType() if isinstance(kind, T.IntegralType) else kind
-    own = docs.select(F.col("doc_id").cast(sent).alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
-    made = own.mapInPandas(each, T.StructType([T.StructField("doc_id", sent), *[docs.schema[c] for c in extra], T.StructField("f", T.LongType()), T.StructField("g", T.LongType())]))
-    return made.select(F.col("doc_id").cast(kind).alias("doc_id"), *extra, F.struct("f", "g").alias("fp"))
+    # a nullable identifier must not become a float on its way
+    whole = [c for c in keep if isinstance(docs.schema[c].dataType, T.IntegralType)]
+    sent = docs.select(*[F.col(c).cast("string").alias(c) if c in whole else c for c in keep], F.col("text").cast("string").alias("text"))
+    made = sent.mapInPandas(each, T.StructType([*[sent.schema[c] for c in keep], *T._parse_datatype_string(schema).fields]))
+    return made.withColumns({c: F.col(c).cast(docs.schema[c].dataType) for c in whole})
+
+
+def _set_id(hashes: np.ndarray) -> int:
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).astype(np.int64))
 
 
 def keep_one(docs: DataFrame, distance: int = 7, words: int = 5, also: int = 14, narrow: int = 2) -> DataFrame:
     """The rows of docs less near copies: of each component the one with the smallest doc_id.
 
-    An edit changes fewer shingles of two words than of five, so copies that share 0.8 of
-    their distinct five-word shingles are mostly within distance bits in the fingerprint of
-    narrow shingles, which is what is indexed. A link also asks that the fingerprints of
-    wide shingles differ in at most also bits, as those of unlike texts do not. A null doc_id
-    comes last; of rows with the same identifier one stays. All columns are unchanged.
+    A link is a Jaccard similarity of SHARE or more between the sets of distinct shingles of
+    words, which is computed for every candidate. Candidates have fingerprints of narrow
+    shingles within distance bits, as an edit changes fewer of these, and fingerprints of
+    wide ones within also bits. Texts with equal sets are one set, told apart by 64 bits of
+    hash. A null doc_id comes last; of rows with the same identifier one stays. All columns
+    are unchanged.
     """
     own = docs.withColumn("__th", F.xxhash64("text"))
-    fps = materialize(twin_fingerprints(own, narrow, words, ["__th"]), "docs")
+
+    def make(text):
+        return _set_id(shingle_hashes(text, words)), fingerprint(text, narrow, True), fingerprint(text, words, True)
+
+    fps = materialize(_each_text(own, ["doc_id", "__th"], "sid long, f long, g long", make), "docs")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("__th")))
-    sizes = materialize(fps.groupBy("fp").agg(first.alias("first")), "sizes")
-    members = sizes.join(near_components(sizes, distance, also), "fp")
-    stays = members.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.__th").alias("__th2"))
+    sizes = materialize(fps.groupBy("sid", "f", "g").agg(first.alias("first")), "sizes")
+    whole, variants = _keys(F.col("f"), distance)
+    keys = F.transform(F.concat(whole, variants), lambda k: k["key"])
+    index = sizes.select(F.explode(F.array_distinct(keys)).alias("key"), "sid", F.struct("f", "g").alias("info"))
+    close = lambda a, b: near(a["f"], b["f"], distance) & near(a["g"], b["g"], also)
+    texts = own.join(sizes.select(F.col("first.doc_id").alias("__id"), F.col("first.__th").alias("__th2"), "sid"), (F.col("__th") == F.col("__th2")) & own["doc_id"].eqNullSafe(F.col("__id")))
+    members = sizes.join(copy_components(index, close, texts.select("sid", "text"), words), "sid", "left")
+    stays = members.groupBy(F.coalesce("component", "sid")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.__th").alias("__th2"))
     both = (own["__th"] == F.col("__th2")) & own["doc_id"].eqNullSafe(F.col("__id"))
     return own.join(stays, both, "left_semi").dropDuplicates(["doc_id", "__th"]).drop("__th")
 
 
+def alike(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """The distinct pairs (a, b) of sets whose Jaccard similarity is SHARE or more."""
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    asked = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
+    read = texts.join(asked, "sid", "left_semi")
+    sets = _each_text(read, ["sid"], "hashes array<long>", lambda t: (shingle_hashes(t, words).view(np.int64),))
+    sets = materialize(sets.dropDuplicates(["sid"]), "sets")
+    p, q = SHARE
+    met = pairs.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
+    shared = F.size(F.array_intersect("ha", "hb"))
+    return materialize(met.where(shared * (p + q) >= (F.size("ha") + F.size("hb")) * p).select("a", "b"), "alike")
+
+
+def copy_components(index: DataFrame, close, texts: DataFrame, words: int) -> DataFrame:
+    """(sid, component) of the sets that have a near copy.
+
+    index has (key, sid, info); a pair is compared where both have a key and close of both
+    infos holds. As for near_components each bucket is first compared with its smallest
+    set, and pair by pair only where it is not within one component by then.
+    """
+    bounds = materialize(index.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("key", "low"), "heads")
+    index = materialize(index.join(bounds.select("key"), "key").distinct(), "index")
+    heads = index.join(bounds.withColumnRenamed("low", "sid"), ["key", "sid"]).select("key", F.col("sid").alias("b"), F.col("info").alias("ib"))
+    links = index.join(heads, "key").where((F.col("sid") != F.col("b")) & close(F.col("info"), F.col("ib"))).select(F.col("sid").alias("a"), "b")
+    links = alike(links, texts, words)
+    first = connected_components(links).toDF("sid", "component")
+    index = materialize(index.join(first, "sid", "left").select("key", "sid", "info", F.coalesce("component", "sid").alias("part")), "parts")
+    mixed = index.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    index = index.join(materialize(mixed, "mixed"), "key")
+    left = index.select("key", F.col("sid").alias("a"), F.col("info").alias("ia"), F.col("part").alias("pa"))
+    right = index.select("key", F.col("sid").alias("b"), F.col("info").alias("ib"), F.col("part").alias("pb"))
+    across = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & close(F.col("ia"), F.col("ib")))
+    return connected_components(links.union(alike(across.select("a", "b"), texts, words))).toDF("sid", "component")
+
+
 def segments(distance: int, bits: int = 64) -> list[tuple[int, int]]:
     """(first bit, length) of the fewest segments, two at least, of which one differs by one bit at most."""
     n = max(2, distance // 2 + 1)
@@ -145,21 +211,16 @@ def near(a: Column, b: Column, distance: int) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= distance
 
 
-def near_components(fps: DataFrame, distance: int = 4, also: int | None = None) -> DataFrame:
-    """(fp, component) of distinct fingerprints linked at distance bits or fewer; component is a fingerprint.
-
-    With also, fp is struct<f, g>, f is what is indexed, and a link asks that g differs in
-    at most also bits too.
-    """
-    linked = lambda a, b: near(a, b, distance) if also is None else near(a["f"], b["f"], distance) & near(a["g"], b["g"], also)
+def near_components(fps: DataFrame, distance: int = 4) -> DataFrame:
+    """(fp, component) of distinct fingerprints linked at distance bits or fewer; component is a fingerprint."""
     distinct = materialize(fps.select("fp").distinct(), "fps")
-    whole, variants = _keys(F.col("fp") if also is None else F.col("fp.f"), distance)
+    whole, variants = _keys(F.col("fp"), distance)
     index = distinct.select("fp", F.explode(F.concat(whole, variants)).alias("k")).select("fp", "k.key", "k.bit")
 
     # first pass: each bucket against its smallest fingerprint
     heads = index.groupBy("key").agg(F.min("fp").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     heads = materialize(heads, "heads")
-    links = index.join(heads.drop("n"), "key").where((F.col("fp") != F.col("head")) & linked(F.col("fp"), F.col("head")))
+    links = index.join(heads.drop("n"), "key").where((F.col("fp") != F.col("head")) & near(F.col("fp"), F.col("head"), distance))
     first = connected_components(materialize(links.select(F.col("fp").alias("a"), F.col("head").alias("b")).distinct(), "links"))
     part = distinct.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("part"))
     part = materialize(part, "parts")
@@ -173,7 +234,7 @@ def near_components(fps: DataFrame, distance: int = 4, also: int | None = None)
     index = index.join(materialize(within, "within"), "key", "left_anti")
     left = index.where("bit in (0, 2)").select("key", F.col("fp").alias("fa"), F.col("part").alias("a"), F.col("bit").alias("side"))
     right = index.where("bit in (1, 2)").select("key", F.col("fp").alias("fb"), F.col("part").alias("b"))
-    across = left.join(right, (left["key"] == right["key"]) & (F.col("a") != F.col("b")) & ((F.col("side") == 0) | (F.col("fa") < F.col("fb"))) & linked(F.col("fa"), F.col("fb")))
+    across = left.join(right, (left["key"] == right["key"]) & (F.col("a") != F.col("b")) & ((F.col("side") == 0) | (F.col("fa") < F.col("fb"))) & near(F.col("fa"), F.col("fb"), distance))
     second = connected_components(materialize(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across"))
     return part.join(second.withColumnRenamed("node", "part"), "part", "left").select("fp", F.coalesce("component", "part").alias("component"))
 
