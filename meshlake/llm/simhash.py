@@ -23,6 +23,7 @@ import pyspark.sql.types as T
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshlake.llm.filters import bitmap_filter, bits_for, maybe_in
 from meshlake.operators.graph import connected_components
 from meshlake.runtime import materialize
 
@@ -30,10 +31,14 @@ SEED = 42
 SHINGLES_A_STEP = 1 << 16
 #: Near copies share at least this part of their shingles, as a whole-number ratio.
 SHARE = (4, 5)
+#: Rows and cells of the count of common shingles, which only sets the order of keys.
+SAMPLE, CELLS = 1 << 15, 1 << 18
+#: Times that sets are compared with heads before all pairs left are.
+ROUNDS = 6
 
 
-def fingerprint(text: str | None, words: int = 4, distinct: bool = False) -> int:
-    """The fingerprint of a whole text, as a signed 64-bit number; distinct counts each shingle once.
+def fingerprint(text: str | None, words: int = 4) -> int:
+    """The fingerprint of a whole text, as a signed 64-bit number.
 
     Words are split at the six ASCII blanks and A-Z lower-cased, both of which bytes do.
     A bit is set if over half the shingles' hashes set it; no shingle gives zero.
@@ -51,11 +56,7 @@ def fingerprint(text: str | None, words: int = 4, distinct: bool = False) -> int
     spans = zip(starts[:n].tolist(), ends[min(words, len(found)) - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
     counts = np.zeros(64, np.int64)
-    parts = [joined[s:e] for s, e in spans]
-    if distinct:
-        parts = set(parts)
-        n = len(parts)
-    hashes = np.fromiter((digest(p, SEED) for p in parts), np.uint64, n)
+    hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in spans), np.uint64, n)
     for k in range(0, n, SHINGLES_A_STEP):
         bits = np.unpackbits(hashes[k : k + SHINGLES_A_STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
@@ -116,40 +117,72 @@ def _set_id(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).astype(np.int64))
 
 
-def keep_one(docs: DataFrame, distance: int = 7, words: int = 5, also: int = 14, narrow: int = 2) -> DataFrame:
+def _may_be_alike(na: Column, nb: Column, shared: Column) -> Column:
+    """Whether sets of na and nb shingles that share so many of their keys can reach SHARE.
+
+    Behind the prefix that ends first in the order, its set has ceil(SHARE * n) - 1 shingles.
+    """
+    p, q = SHARE
+    return (shared + F.ceil(F.greatest(na, nb) * p / q) - 1) * (p + q) >= (na + nb) * p
+
+
+def common_cells(docs: DataFrame, words: int) -> np.ndarray:
+    """Counts of shingles in CELLS cells by hash over some SAMPLE rows, zero where nothing stands out."""
+    part = max(1, docs.count() // SAMPLE)
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hashes = [shingle_hashes(x, words) for x in batch["text"]]
+            cells, n = np.unique(np.concatenate([np.empty(0, np.uint64), *hashes]) % np.uint64(CELLS), return_counts=True)
+            yield pd.DataFrame({"cell": cells.astype(np.int64), "n": n.astype(np.int64)})
+
+    sampled = docs.where(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(part)) == 0).select(F.col("text").cast("string").alias("text"))
+    counts = materialize(sampled.mapInPandas(each, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "cells")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = np.zeros(CELLS, np.uint16)
+    for cell, n in counts.where(F.col("n") >= 4 + 2 * total // CELLS).collect():
+        found[cell] = min(n, 65535)
+    return found
+
+
+def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
     """The rows of docs less near copies: of each component the one with the smallest doc_id.
 
     A link is a Jaccard similarity of SHARE or more between the sets of distinct shingles of
-    words, which is computed for every candidate. Candidates have fingerprints of narrow
-    shingles within distance bits, as an edit changes fewer of these, and fingerprints of
-    wide ones within also bits. Texts with equal sets are one set, told apart by 64 bits of
-    hash. A null doc_id comes last; of rows with the same identifier one stays. All columns
-    are unchanged.
+    words, and no link is missed. Two such sets share so many shingles that they share one
+    of the first n - ceil(SHARE * n) + 1 of each, in any one order of all shingles; those are
+    indexed, by hash and with the common ones last, and each pair that meets is compared.
+    Texts with equal sets are one set, told apart by 64 bits of hash. A null doc_id comes
+    last; of rows with the same identifier one stays. All columns are unchanged.
     """
+    p, q = SHARE
     own = docs.withColumn("__th", F.xxhash64("text"))
+    common = common_cells(own, words)
 
     def make(text):
-        return _set_id(shingle_hashes(text, words)), fingerprint(text, narrow, True), fingerprint(text, words, True)
+        hashes = shingle_hashes(text, words)
+        n = len(hashes)
+        order = np.lexsort((hashes, common[hashes % np.uint64(CELLS)]))
+        return _set_id(hashes), n, hashes[order[: n - -(-n * p // q) + 1 if n else 0]].view(np.int64)
 
-    fps = materialize(_each_text(own, ["doc_id", "__th"], "sid long, f long, g long", make), "docs")
+    rows = materialize(_each_text(own, ["doc_id", "__th"], "sid long, n int, keys array<long>", make), "docs")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("__th")))
-    sizes = materialize(fps.groupBy("sid", "f", "g").agg(first.alias("first")), "sizes")
-    whole, variants = _keys(F.col("f"), distance)
-    keys = F.transform(F.concat(whole, variants), lambda k: k["key"])
-    index = sizes.select(F.explode(F.array_distinct(keys)).alias("key"), "sid", F.struct("f", "g").alias("info"))
-    close = lambda a, b: near(a["f"], b["f"], distance) & near(a["g"], b["g"], also)
-    texts = own.join(sizes.select(F.col("first.doc_id").alias("__id"), F.col("first.__th").alias("__th2"), "sid"), (F.col("__th") == F.col("__th2")) & own["doc_id"].eqNullSafe(F.col("__id")))
-    members = sizes.join(copy_components(index, close, texts.select("sid", "text"), words), "sid", "left")
+    sizes = materialize(rows.groupBy("sid").agg(first.alias("first")), "sizes")
+    index = rows.select("sid", "n", F.explode("keys").alias("key"))
+    members = sizes.join(copy_components(index, own, sizes, words), "sid", "left")
     stays = members.groupBy(F.coalesce("component", "sid")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.__th").alias("__th2"))
     both = (own["__th"] == F.col("__th2")) & own["doc_id"].eqNullSafe(F.col("__id"))
     return own.join(stays, both, "left_semi").dropDuplicates(["doc_id", "__th"]).drop("__th")
 
 
-def alike(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """The distinct pairs (a, b) of sets whose Jaccard similarity is SHARE or more."""
+def alike(pairs: DataFrame, own: DataFrame, sizes: DataFrame, words: int) -> DataFrame:
+    """The distinct pairs (a, b) of sets whose Jaccard similarity is SHARE or more; only texts of these sets are read."""
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     asked = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    read = texts.join(asked, "sid", "left_semi")
+    asked = materialize(sizes.join(asked, "sid").select("sid", F.col("first.doc_id").alias("__id"), F.col("first.__th").alias("__th2")), "asked")
+    bits = bits_for(asked.count())
+    read = maybe_in(own, bitmap_filter(asked, "__th2", bits), F.col("__th"), bits).select("doc_id", "__th", "text")
+    read = read.join(asked, (F.col("__th") == F.col("__th2")) & F.col("doc_id").eqNullSafe(F.col("__id")))
     sets = _each_text(read, ["sid"], "hashes array<long>", lambda t: (shingle_hashes(t, words).view(np.int64),))
     sets = materialize(sets.dropDuplicates(["sid"]), "sets")
     p, q = SHARE
@@ -158,26 +191,44 @@ def alike(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return materialize(met.where(shared * (p + q) >= (F.size("ha") + F.size("hb")) * p).select("a", "b"), "alike")
 
 
-def copy_components(index: DataFrame, close, texts: DataFrame, words: int) -> DataFrame:
+def copy_components(index: DataFrame, own: DataFrame, sizes: DataFrame, words: int) -> DataFrame:
     """(sid, component) of the sets that have a near copy.
 
-    index has (key, sid, info); a pair is compared where both have a key and close of both
-    infos holds. As for near_components each bucket is first compared with its smallest
-    set, and pair by pair only where it is not within one component by then.
+    index has (key, sid, n); a pair is compared where both share enough keys. While buckets hold many pairs that are not within one component, each
+    set is first compared with one head of its buckets, another each round; after ROUNDS at
+    most all pairs left are compared. So large groups of copies are seldom expanded into
+    their pairs, and no link between components is lost.
     """
-    bounds = materialize(index.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("key", "low"), "heads")
-    index = materialize(index.join(bounds.select("key"), "key").distinct(), "index")
-    heads = index.join(bounds.withColumnRenamed("low", "sid"), ["key", "sid"]).select("key", F.col("sid").alias("b"), F.col("info").alias("ib"))
-    links = index.join(heads, "key").where((F.col("sid") != F.col("b")) & close(F.col("info"), F.col("ib"))).select(F.col("sid").alias("a"), "b")
-    links = alike(links, texts, words)
-    first = connected_components(links).toDF("sid", "component")
-    index = materialize(index.join(first, "sid", "left").select("key", "sid", "info", F.coalesce("component", "sid").alias("part")), "parts")
-    mixed = index.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    index = index.join(materialize(mixed, "mixed"), "key")
-    left = index.select("key", F.col("sid").alias("a"), F.col("info").alias("ia"), F.col("part").alias("pa"))
-    right = index.select("key", F.col("sid").alias("b"), F.col("info").alias("ib"), F.col("part").alias("pb"))
-    across = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & close(F.col("ia"), F.col("ib")))
-    return connected_components(links.union(alike(across.select("a", "b"), texts, words))).toDF("sid", "component")
+    shared = materialize(index.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("key"), "shared")
+    shingled = materialize(index.join(shared, "key").distinct(), "index")
+    index = shingled.withColumn("part", F.col("sid"))
+    links = None
+    for k in range(ROUNDS + 1):
+        parts = index.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+        mixed = materialize(parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within")).where("within < n * n"), "mixed")
+        rows, pairs = mixed.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("within")) / 2)).first()
+        if not rows:
+            break
+        last = k == ROUNDS or pairs <= 8 * rows
+        live = index.join(mixed.select("key"), "key")
+        left = live.select("key", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
+        if last:
+            right = live.select("key", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
+        else:
+            head = F.min(F.struct(F.xxhash64(F.lit(k), "sid"), F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))).alias("h")
+            right = live.groupBy("key").agg(head).select("key", "h.b", "h.nb", "h.pb")
+        met = left.join(right, "key").where((F.col("pa") != F.col("pb")) & (F.col("na") * SHARE[1] >= F.col("nb") * SHARE[0]) & (F.col("nb") * SHARE[1] >= F.col("na") * SHARE[0]))
+        if last:
+            met = met.where("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c")).where(_may_be_alike(F.col("na"), F.col("nb"), F.col("c")))
+        else:
+            met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
+        found = alike(met.select("a", "b"), own, sizes, words)
+        links = found if links is None else links.union(found)
+        component = connected_components(links).toDF("sid", "component")
+        if last:
+            return component
+        index = materialize(shingled.join(component, "sid", "left").select("key", "sid", "n", F.coalesce("component", "sid").alias("part")), "parts")
+    return connected_components(links if links is not None else sizes.select(F.col("sid").alias("a"), F.col("sid").alias("b")).limit(0)).toDF("sid", "component")
 
 
 def segments(distance: int, bits: int = 64) -> list[tuple[int, int]]:

@@ -50,3 +50,25 @@ def test_no_text_below_the_share_is_dropped(spark):
     want, below = kept_by_brute_force(rows)
     kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert below > 20 and len(want) < 200 and want <= kept
+
+
+def test_no_near_copy_is_missed(spark):
+    rows = texts(4, range(2, 7))
+    want, _ = kept_by_brute_force(rows)
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert len(want) < 150 and kept == want
+
+
+def test_large_group_of_near_copies(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijkl", k=6)) for _ in range(4000)]
+    base = rng.choices(words, k=200)
+    rows = [(1000 + k, " ".join(rng.choices(words, k=100) + base[:40])) for k in range(20)]
+    for k in range(300):
+        copy = list(base)
+        for at in rng.sample(range(200), 3):
+            copy[at] = rng.choice(words)
+        rows.append((k, " ".join(copy)))
+    want, _ = kept_by_brute_force(rows)
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert kept == want
