@@ -66,7 +66,12 @@ def probability_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("x", "y", "z", F.array(*[F.col(f"c{k}") / (F.col("n") + 10).cast("double") for k in (1, 2, 3)]).alias("p"))
 
 
+def whole_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mesh.voxel_tets(voxel_volume(spark, sf_dir), NX, NY)
+
+
 def tet_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the mesh that the SQL of its queries covers: voxels with x <= 12."""
     return mesh.voxel_tets(voxel_volume(spark, sf_dir).where("x <= 12"), NX, NY)
 
 
@@ -391,7 +396,7 @@ def interface_areas(spark, sf_dir):
 
 @query()
 def same_label_components(spark, sf_dir):
-    return mesh.same_label_components(tet_mesh(spark, sf_dir))
+    return mesh.same_label_components(whole_mesh(spark, sf_dir))
 
 
 @query(f"WITH {POINTS} SELECT count(*) AS n_tets, least(count(*) FILTER ({_V6} > 0), count(*) FILTER ({_V6} < 0)) AS n_inverted, count(*) FILTER ({_V6} = 0) AS n_flat, count(*) FILTER (round({_DIHEDRAL}, 6) < 10) AS n_slivers, 0 AS n_open, 0 AS n_region_open, TRUE AS ok FROM pts")
