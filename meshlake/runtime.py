@@ -8,7 +8,8 @@ import types
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # functions of this package travel with the job, so workers need not have it installed
 cloudpickle.register_pickle_by_value(sys.modules["meshlake"])
@@ -56,7 +57,30 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None,
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def counted(df: DataFrame, name: str, **options) -> tuple[DataFrame, int]:
+    """materialize, and the number of rows as the writing tasks saw it: no job of its own."""
+    out, seen = observed(df, name, {"n": F.count(F.lit(1))}, **options)
+    return out, seen["n"] or 0
+
+
+def observed(df: DataFrame, name: str, metrics: dict, **options) -> tuple[DataFrame, dict]:
+    """materialize, and aggregates of the rows taken while they are written."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *[value.alias(key) for key, value in metrics.items()]), name, **options)
+    found = seen.get
+    return out, {key: found.get(key) for key in metrics}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that no later plan reads."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def worker_cache() -> dict:
