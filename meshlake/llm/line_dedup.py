@@ -59,7 +59,8 @@ def line_dedup(docs: DataFrame, min_sites: int = 15, site: str = "source") -> Da
     document with the smallest doc_id that holds it (all its rows and places), or in those
     of null doc_id if there are no others; elsewhere it goes with its line end. A null
     site is a site. Null texts stay null, with no lines. Repeated rows are treated
-    alike, other columns pass unchanged, and an empty table gives no rows.
+    alike, other columns pass unchanged (n_lines and n_removed are replaced), and an empty
+    table gives no rows.
     """
     if min_sites < 2:
         raise ValueError("min_sites is at least 2")
@@ -70,9 +71,11 @@ def line_dedup(docs: DataFrame, min_sites: int = 15, site: str = "source") -> Da
     gone = hit.groupBy("__id", "__th").agg(F.collect_set("pos").alias("__gone"))
     gone = materialize(gone, "gone").withColumnsRenamed({"__id": "__id2", "__th": "__th2"})
     extra = [c for c in ("n_lines", "n_removed") if c in docs.columns]
-    keyed = docs.drop(*extra).select("*", *_identity())
+    keyed = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").alias("__id"), F.xxhash64("row.text").alias("__th"))
     both = keyed.join(gone, (keyed["__th"] == gone["__th2"]) & keyed["__id"].eqNullSafe(gone["__id2"]), "left")
-    kept = let(F.split("text", "\n"), lambda parts: F.filter(parts, lambda x, i: ~F.array_contains(F.col("__gone"), i)))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    n_lines = F.size(F.filter(F.split(text_of(), "\n"), lambda x: F.regexp_like(x, F.lit(WORD)))).cast("long")
-    return both.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in extra], n_lines.alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
+    lines_of = F.split(F.coalesce("row.text", F.lit("")), "\n")
+    kept = let(F.split("row.text", "\n"), lambda parts: F.filter(parts, lambda x, i: ~F.array_contains(F.col("__gone"), i)))
+    text = F.when(F.col("__gone").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+    n_lines = F.size(F.filter(lines_of, lambda x: F.regexp_like(x, F.lit(WORD)))).cast("long")
+    columns = [text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c not in extra]
+    return both.select(*columns, n_lines.alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))

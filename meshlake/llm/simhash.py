@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from meshlake.llm.filters import bitmap_filter, bits_for, maybe_in
 from meshlake.operators.graph import connected_components
-from meshlake.runtime import materialize
+from meshlake.runtime import counted, discard, materialize, observed
 
 SEED = 42
 SHINGLES_A_STEP = 1 << 16
@@ -34,7 +34,11 @@ SHARE = (4, 5)
 #: Rows and cells of the count of common shingles, which only sets the order of keys.
 SAMPLE, CELLS = 1 << 15, 1 << 18
 #: Times that sets are compared with heads before all pairs left are.
-ROUNDS = 6
+ROUNDS = 3
+#: Fingerprints that a task gives their index keys.
+EXPLODED = 1 << 16
+#: Rows that a worker shingles at a time.
+ROWS = 256
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -55,8 +59,13 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     n = max(1, len(found) - words + 1)
     spans = zip(starts[:n].tolist(), ends[min(words, len(found)) - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
+    return majority(np.fromiter((digest(joined[s:e], SEED) for s, e in spans), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half the hashes set, as a signed number; zero for none."""
+    n = len(hashes)
     counts = np.zeros(64, np.int64)
-    hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in spans), np.uint64, n)
     for k in range(0, n, SHINGLES_A_STEP):
         bits = np.unpackbits(hashes[k : k + SHINGLES_A_STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
@@ -98,10 +107,11 @@ def _each_text(docs: DataFrame, keep: list[str], schema: str, make) -> DataFrame
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = batch[keep].copy()
-            for name, values in zip(fields, zip(*map(make, batch["text"]), strict=True), strict=False):
-                out[name] = list(values)
-            if len(out):
+            for at in range(0, len(batch), ROWS):
+                part = batch.iloc[at : at + ROWS]
+                out = part[keep].copy()
+                for name, values in zip(fields, zip(*map(make, part["text"]), strict=True), strict=True):
+                    out[name] = list(values)
                 yield out
 
     # a nullable identifier must not become a float on its way
@@ -127,7 +137,10 @@ def _may_be_alike(na: Column, nb: Column, shared: Column) -> Column:
 
 
 def common_cells(docs: DataFrame, words: int) -> np.ndarray:
-    """Counts of shingles in CELLS cells by hash over some SAMPLE rows, zero where nothing stands out."""
+    """Counts of shingles in CELLS cells by hash over some SAMPLE rows, zero where nothing stands out.
+
+    They only set the order in which a set's shingles become keys, so no result depends on them.
+    """
     part = max(1, docs.count() // SAMPLE)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,80 +150,107 @@ def common_cells(docs: DataFrame, words: int) -> np.ndarray:
             yield pd.DataFrame({"cell": cells.astype(np.int64), "n": n.astype(np.int64)})
 
     sampled = docs.where(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(part)) == 0).select(F.col("text").cast("string").alias("text"))
-    counts = materialize(sampled.mapInPandas(each, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "cells")
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    counts, seen = observed(sampled.mapInPandas(each, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "cells", {"total": F.sum("n")})
+    total = seen["total"] or 0
     found = np.zeros(CELLS, np.uint16)
     for cell, n in counts.where(F.col("n") >= 4 + 2 * total // CELLS).collect():
         found[cell] = min(n, 65535)
+    discard(counts)
     return found
 
 
-def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, distance: int = 4) -> DataFrame:
     """The rows of docs less near copies: of each component the one with the smallest doc_id.
 
     A link is a Jaccard similarity of SHARE or more between the sets of distinct shingles of
-    words, and no link is missed. Two such sets share so many shingles that they share one
-    of the first n - ceil(SHARE * n) + 1 of each, in any one order of all shingles; those are
-    indexed, by hash and with the common ones last, and each pair that meets is compared.
-    Texts with equal sets are one set, told apart by 64 bits of hash. A null doc_id comes
-    last; of rows with the same identifier one stays. All columns are unchanged.
+    words, and no link is missed. Sets whose fingerprints differ in distance bits or fewer are
+    candidates first, by deletion variants; what fingerprints cannot reach (sets at 0.8 differ
+    in some ten bits of 64) meets by an index of shingles: two such sets share so many that
+    they share one of the first n - ceil(SHARE * n) + 1 of each, in any one order of all
+    shingles; those are indexed, by hash and with the common ones last. Every candidate is
+    verified. Texts with equal sets are one set, told apart by 64 bits of hash; null, empty
+    and blank texts are one set. A null doc_id comes last; of rows with the same identifier
+    and text one stays. All columns are unchanged, whatever their names; an empty table gives
+    no rows.
     """
     p, q = SHARE
-    own = docs.withColumn("__th", F.xxhash64("text"))
+    own = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), F.xxhash64("row.text").alias("th"))
     common = common_cells(own, words)
 
     def make(text):
         hashes = shingle_hashes(text, words)
         n = len(hashes)
         order = np.lexsort((hashes, common[hashes % np.uint64(CELLS)]))
-        return _set_id(hashes), n, hashes[order[: n - -(-n * p // q) + 1 if n else 0]].view(np.int64)
+        return _set_id(hashes), majority(hashes), n, hashes[order[: n - -(-n * p // q) + 1 if n else 0]].view(np.int64)
 
-    rows = materialize(_each_text(own, ["doc_id", "__th"], "sid long, n int, keys array<long>", make), "docs")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("__th")))
-    sizes = materialize(rows.groupBy("sid").agg(first.alias("first")), "sizes")
+    rows = materialize(_each_text(own, ["doc_id", "th"], "sid long, fp long, n int, keys array<long>", make), "docs")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("th")))
+    sizes = materialize(rows.groupBy("sid").agg(first.alias("first"), F.first("fp").alias("fp")), "sizes")
     index = rows.select("sid", "n", F.explode("keys").alias("key"))
-    members = sizes.join(copy_components(index, own, sizes, words), "sid", "left")
-    stays = members.groupBy(F.coalesce("component", "sid")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.__th").alias("__th2"))
-    both = (own["__th"] == F.col("__th2")) & own["doc_id"].eqNullSafe(F.col("__id"))
-    return own.join(stays, both, "left_semi").dropDuplicates(["doc_id", "__th"]).drop("__th")
+    members = sizes.join(copy_components(index, own, sizes, words, distance), "sid", "left")
+    stays = members.groupBy(F.coalesce("component", "sid")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("id2"), F.col("first.th").alias("th2"))
+    stays = materialize(stays, "stays")
+    both = (own["th"] == F.col("th2")) & own["doc_id"].eqNullSafe(F.col("id2"))
+    repeated, n_repeated = counted(rows.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("doc_id").alias("id3"), F.col("th").alias("th3")), "repeated")
+    discard(rows, sizes)
+    if not n_repeated:
+        return own.join(stays, both, "left_semi").select("row.*")
+    # only rows that repeat are compared with each other
+    many = (F.col("th2") == F.col("th3")) & F.col("id2").eqNullSafe(F.col("id3"))
+    one = own.join(stays.join(repeated, many, "left_anti"), both, "left_semi")
+    some = own.join(stays.join(repeated, many, "left_semi"), both, "left_semi").dropDuplicates(["doc_id", "th"])
+    return one.unionByName(some).select("row.*")
 
 
 def alike(pairs: DataFrame, own: DataFrame, sizes: DataFrame, words: int) -> DataFrame:
     """The distinct pairs (a, b) of sets whose Jaccard similarity is SHARE or more; only texts of these sets are read."""
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    asked = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    asked = materialize(sizes.join(asked, "sid").select("sid", F.col("first.doc_id").alias("__id"), F.col("first.__th").alias("__th2")), "asked")
-    bits = bits_for(asked.count())
-    read = maybe_in(own, bitmap_filter(asked, "__th2", bits), F.col("__th"), bits).select("doc_id", "__th", "text")
-    read = read.join(asked, (F.col("__th") == F.col("__th2")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    asked, n = counted(sizes.join(asked, "sid").select("sid", F.col("first.doc_id").alias("id2"), F.col("first.th").alias("th2")), "asked")
+    bits = bits_for(n)
+    read = maybe_in(own.select("doc_id", "th", "text"), bitmap_filter(asked, "th2", bits), F.col("th"), bits)
+    read = read.join(asked, (F.col("th") == F.col("th2")) & F.col("doc_id").eqNullSafe(F.col("id2")))
     sets = _each_text(read, ["sid"], "hashes array<long>", lambda t: (shingle_hashes(t, words).view(np.int64),))
     sets = materialize(sets.dropDuplicates(["sid"]), "sets")
     p, q = SHARE
     met = pairs.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
     shared = F.size(F.array_intersect("ha", "hb"))
-    return materialize(met.where(shared * (p + q) >= (F.size("ha") + F.size("hb")) * p).select("a", "b"), "alike")
+    found = materialize(met.where(shared * (p + q) >= (F.size("ha") + F.size("hb")) * p).select("a", "b"), "alike")
+    discard(pairs, asked, sets)
+    return found
+
+
+def head_pairs(sizes: DataFrame, distance: int) -> DataFrame:
+    """(a, b) of sets whose fingerprints are near and meet in an index key: each with the least of its key."""
+    whole, variants = _keys(F.col("fp"), distance)
+    index = sizes.select("sid", "fp", F.explode(F.concat(whole, variants)).alias("k")).select("sid", "fp", "k.key")
+    heads = index.groupBy("key").agg(F.min(F.struct("sid", "fp")).alias("h"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    met = index.join(heads.select("key", F.col("h.sid").alias("b"), F.col("h.fp").alias("fb")), "key")
+    return met.where((F.col("sid") != F.col("b")) & near(F.col("fp"), F.col("fb"), distance)).select(F.col("sid").alias("a"), "b")
 
 
-def copy_components(index: DataFrame, own: DataFrame, sizes: DataFrame, words: int) -> DataFrame:
+def copy_components(index: DataFrame, own: DataFrame, sizes: DataFrame, words: int, distance: int) -> DataFrame:
     """(sid, component) of the sets that have a near copy.
 
-    index has (key, sid, n); a pair is compared where both share enough keys. While buckets hold many pairs that are not within one component, each
-    set is first compared with one head of its buckets, another each round; after ROUNDS at
-    most all pairs left are compared. So large groups of copies are seldom expanded into
-    their pairs, and no link between components is lost.
+    index has (key, sid, n); a pair is compared where both share enough keys. Links between
+    near fingerprints come first. While buckets hold many pairs that are not within one
+    component, each set is compared with one head of its buckets, another each round; after
+    ROUNDS at most all pairs left are compared. So large groups of copies are seldom expanded
+    into their pairs, and no link between components is lost.
     """
-    shared = materialize(index.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("key"), "shared")
+    shared = index.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("key")
     shingled = materialize(index.join(shared, "key").distinct(), "index")
-    index = shingled.withColumn("part", F.col("sid"))
-    links = None
+    links = alike(head_pairs(sizes, distance), own, sizes, words)
     for k in range(ROUNDS + 1):
-        parts = index.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
-        mixed = materialize(parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within")).where("within < n * n"), "mixed")
-        rows, pairs = mixed.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("within")) / 2)).first()
-        if not rows:
-            break
-        last = k == ROUNDS or pairs <= 8 * rows
-        live = index.join(mixed.select("key"), "key")
+        component = connected_components(links).toDF("sid", "component")
+        parted = materialize(shingled.join(component, "sid", "left").select("key", "sid", "n", F.coalesce("component", "sid").alias("part")), "parts")
+        parts = parted.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c"))
+        mixed = parts.groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("within")).where("within < c * c")
+        mixed, seen = observed(mixed, "mixed", {"rows": F.sum("c"), "pairs": F.sum((F.col("c") * F.col("c") - F.col("within")) / 2)})
+        if not seen["rows"]:
+            return component
+        last = k == ROUNDS or seen["pairs"] <= 8 * seen["rows"]
+        live = parted.join(mixed.select("key"), "key")
         left = live.select("key", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
         if last:
             right = live.select("key", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
@@ -222,13 +262,11 @@ def copy_components(index: DataFrame, own: DataFrame, sizes: DataFrame, words: i
             met = met.where("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c")).where(_may_be_alike(F.col("na"), F.col("nb"), F.col("c")))
         else:
             met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
-        found = alike(met.select("a", "b"), own, sizes, words)
-        links = found if links is None else links.union(found)
-        component = connected_components(links).toDF("sid", "component")
+        links = links.union(alike(met.select("a", "b"), own, sizes, words))
+        discard(parted, mixed)
         if last:
-            return component
-        index = materialize(shingled.join(component, "sid", "left").select("key", "sid", "n", F.coalesce("component", "sid").alias("part")), "parts")
-    return connected_components(links if links is not None else sizes.select(F.col("sid").alias("a"), F.col("sid").alias("b")).limit(0)).toDF("sid", "component")
+            break
+    return connected_components(links).toDF("sid", "component")
 
 
 def segments(distance: int, bits: int = 64) -> list[tuple[int, int]]:
@@ -264,7 +302,9 @@ def near(a: Column, b: Column, distance: int) -> Column:
 
 def near_components(fps: DataFrame, distance: int = 4) -> DataFrame:
     """(fp, component) of distinct fingerprints linked at distance bits or fewer; component is a fingerprint."""
-    distinct = materialize(fps.select("fp").distinct(), "fps")
+    distinct, n = counted(fps.select("fp").distinct(), "fps")
+    # a row becomes some 66, so few rows are dealt over many tasks
+    distinct = distinct.repartition(max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // EXPLODED), "fp")
     whole, variants = _keys(F.col("fp"), distance)
     index = distinct.select("fp", F.explode(F.concat(whole, variants)).alias("k")).select("fp", "k.key", "k.bit")
 
@@ -272,21 +312,21 @@ def near_components(fps: DataFrame, distance: int = 4) -> DataFrame:
     heads = index.groupBy("key").agg(F.min("fp").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     heads = materialize(heads, "heads")
     links = index.join(heads.drop("n"), "key").where((F.col("fp") != F.col("head")) & near(F.col("fp"), F.col("head"), distance))
-    first = connected_components(materialize(links.select(F.col("fp").alias("a"), F.col("head").alias("b")).distinct(), "links"))
+    first = connected_components(links.select(F.col("fp").alias("a"), F.col("head").alias("b")))
     part = distinct.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("part"))
-    part = materialize(part, "parts")
+    part = materialize(part, "parts").repartition(max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // EXPLODED), "fp")
 
     # second pass: what differs in component within a bucket. Large buckets that lie within one
     # component are left out first; large is well above what chance puts into a bucket
     index = part.select("fp", "part", F.explode(F.concat(whole, variants)).alias("k")).select("fp", "part", "k.key", "k.bit")
-    by_chance = part.count() >> (64 // len(segments(distance)) - 1)
+    by_chance = n >> (64 // len(segments(distance)) - 1)
     large = materialize(heads.where(F.col("n") >= 16 + 8 * by_chance).select("key"), "large")
     within = index.join(large, "key").groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low = high").select("key")
     index = index.join(materialize(within, "within"), "key", "left_anti")
     left = index.where("bit in (0, 2)").select("key", F.col("fp").alias("fa"), F.col("part").alias("a"), F.col("bit").alias("side"))
     right = index.where("bit in (1, 2)").select("key", F.col("fp").alias("fb"), F.col("part").alias("b"))
     across = left.join(right, (left["key"] == right["key"]) & (F.col("a") != F.col("b")) & ((F.col("side") == 0) | (F.col("fa") < F.col("fb"))) & near(F.col("fa"), F.col("fb"), distance))
-    second = connected_components(materialize(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across"))
+    second = connected_components(across.select("a", "b"))
     return part.join(second.withColumnRenamed("node", "part"), "part", "left").select("fp", F.coalesce("component", "part").alias("component"))
 
 

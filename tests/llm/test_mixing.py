@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 from meshlake.llm import mixing
 
@@ -30,8 +31,8 @@ def test_mix(spark, docs, rows):
     order = sorted([s for s in sizes if s is not None]) + [None]
     weights = {s: [5, 2, 1][k % 3] for k, s in enumerate(order)}
     want = filled(sizes, weights, 1.5 * sum(sizes.values()), 2.0)
-    for bins in (4096, 1):
-        got = mixing.mix(docs, cycle=[5, 2, 1], bins=bins).collect()
+    for digits in (3, 1):
+        got = mixing.mix(docs, cycle=[5, 2, 1], digits=digits).collect()
         assert len(got) == len(rows)
         taken = {}
         for r in got:
@@ -46,9 +47,26 @@ def test_mix(spark, docs, rows):
 
 def test_repeat_rows(docs, rows):
     mixed = mixing.mix(docs, cycle=[5, 2, 1])
-    out = mixing.repeat_rows(docs, mixed)
+    out = mixing.repeat_rows(docs, cycle=[5, 2, 1])
     assert out.columns == docs.columns
-    assert out.count() == sum(r.copies for r in mixed.collect())
+    count = lambda found: Counter(x for r, n in found for x in [r] * n)
+    assert count((r.doc_id, 1) for r in out.collect()) == count((r.doc_id, r.copies) for r in mixed.collect())
+
+
+def test_repeat_rows_with_clashing_names(spark):
+    names = ["doc_id", "text", "source", "copies", "h", "row", "__k", "__size", "__copy", "cut", "size"]
+    rows = [(i if i % 3 else None, "w " * (i % 7), "ab"[i % 2], *range(8)) for i in range(60)]
+    docs = spark.createDataFrame(rows, ", ".join(f"{n} {t}" for n, t in zip(names, ["long", "string", "string"] + ["int"] * 8, strict=True)))
+    out = mixing.repeat_rows(docs, cycle=[5, 2])
+    assert out.columns == names and set(map(tuple, out.collect())) <= set(rows)
+    assert mixing.repeat_rows(docs.limit(0), cycle=[1]).collect() == []
+
+
+def test_no_copies_beyond_the_epochs(spark):
+    """Wordless documents are not taken a third time by a source at its cap."""
+    docs = spark.createDataFrame([(i, "w w" if i > 4 else None, "a") for i in range(10)] + [(10 + i, "w " * 50, "b") for i in range(10)], "doc_id long, text string, source string")
+    for seed in range(4):
+        assert max(r.copies for r in mixing.mix(docs, cycle=[5, 1], seed=seed).collect()) <= 2
 
 
 def test_empty_and_wordless(spark, none):
