@@ -2,12 +2,16 @@
 
 Built-in functions only. Counts of a text are taken within its row. A document's
 statistics are logarithms in steps of 1/SCALE, held as whole numbers, so that sums over
-any partitioning agree exactly. For each (language, source) a minimum-covariance-
-determinant estimate is found by concentration steps: from the current estimate each
-document gets its Mahalanobis distance, the h nearest documents of the group are chosen
-by a histogram of distances, and their mean and covariance are the next estimate. Each
-step is one aggregation over narrow rows, combined within tasks before it is shuffled.
-Estimates of groups too small for a covariance come from their language, or from all.
+any partitioning agree exactly, and documents with equal statistics are one weighted point.
+For each language and source, each language, and all, a minimum-covariance-determinant
+estimate is found by concentration steps from several deterministic starts: each point
+gets its Mahalanobis distance, the nearest share of the group is chosen by a histogram of
+distances (the bin in which it ends counts in part), and its mean and covariance are the
+next estimate. After two steps the start of least determinant goes on until no group's
+determinant falls. A step is one aggregation over weighted points for all groups at once.
+Estimates are drawn towards their parent's (language, then all) as if it were SHRINK more
+documents, so groups of any size are judged by one rule. The cutoff is a quantile of the
+chi-square law that squared distances of normal data follow.
 """
 
 from __future__ import annotations
@@ -18,17 +22,54 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshlake.llm.common import WORD, let, small_join, text_of
-from meshlake.runtime import materialize
+from meshlake.llm.common import WORD, let, text_of
+from meshlake.runtime import materialize, observed
 
 SYMBOLS = "#*$%&|<>"
 SCALE = 256
 #: Statistics of a document, in this order.
 STATS = ("s_wordlen", "s_symbols", "s_dup", "s_repeat")
-#: Least variance of each statistic: deviations that clean documents show, whatever the group.
-FLOOR = (0.02, 0.1, 0.6, 0.6)
-#: Bins of the logarithm of the squared distance, a power of two.
+#: Deviations in one statistic that no group rejects by itself: words of twice the length, 10
+#: symbols or 10 repeated lines a hundred words, and repeated words up to the base rule's half.
+#: Most groups do not vary at all in some statistic; these regularise the determinant.
+TOLERANCE = (math.log(2.0), math.log(11.0), math.log(11.0), math.log(51.0))
+#: The part of a group that an estimate rests on, and the chi-square quantile of the cutoff.
+SHARE, QUANTILE = 0.75, 0.975
+#: Documents that the parent's estimate counts for.
+SHRINK = 40.0
+#: Bins of the logarithm of the squared distance to an octave.
 BINS_PER_OCTAVE = 32
+#: Steps at most, should determinants go on falling by less than a millionth.
+STEPS = 30
+
+
+def chi_square(x: float, k: int) -> float:
+    """The chance that a chi-square variable of k degrees is at most x, by the series of the incomplete gamma function."""
+    half, at = x / 2.0, k / 2.0
+    term = total = 1.0 / at
+    while term > total * 1e-16:
+        at += 1.0
+        term *= half / at
+        total += term
+    return total * math.exp(k / 2.0 * math.log(half) - half - math.lgamma(k / 2.0)) if x > 0 else 0.0
+
+
+def chi_square_quantile(p: float, k: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(200):
+        middle = (low + high) / 2.0
+        low, high = (middle, high) if chi_square(middle, k) < p else (low, middle)
+    return high
+
+
+def consistency(share: float, k: int) -> float:
+    """What the covariance of the nearest share of normal data is multiplied by to be that of all."""
+    return share / chi_square(chi_square_quantile(share, k), k + 2)
+
+
+def floors(tolerance: tuple[float, ...] = TOLERANCE, quantile: float = QUANTILE) -> tuple[float, ...]:
+    """Variances added to each statistic's, by which its tolerance alone just reaches the cutoff."""
+    return tuple(t * t / chi_square_quantile(quantile, len(tolerance)) for t in tolerance)
 
 
 def base_counts(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -85,29 +126,37 @@ def statistics() -> list[Column]:
     return [step(F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n)).alias("s_wordlen"), share("n_symbols").alias("s_symbols"), share("n_dup_lines").alias("s_dup"), share("n_repeat_words").alias("s_repeat")]
 
 
-def _moments(group: list[str], rows: DataFrame, stats: tuple[str, ...]) -> DataFrame:
-    """Mean and covariance of each group, in units of the statistics, from whole-number sums."""
-    pairs = [(i, j) for i in range(len(stats)) for j in range(i + 1)]
+def _sums(weight: Column, stats: tuple[str, ...]) -> list[Column]:
+    """Weighted counts, sums and sums of products, as exact decimals."""
     wide = lambda x: x.cast("decimal(20,0)")
-    sums = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("m"), *[F.sum(wide(F.col(s))).alias(f"t{i}") for i, s in enumerate(stats)], *[F.sum(wide(F.col(stats[i]) * F.col(stats[j]))).alias(f"t{i}_{j}") for i, j in pairs])
-    number = lambda c: F.col(c).cast("double")
-    mean = [(number(f"t{i}") / F.col("m")).alias(f"mu{i}") for i in range(len(stats))]
-    cov = [((number(f"t{i}_{j}") / F.col("m") - number(f"t{i}") / F.col("m") * (number(f"t{j}") / F.col("m"))) / F.lit(float(SCALE * SCALE))).alias(f"c{i}_{j}") for i, j in pairs]
-    return sums.select(*group, "m", *mean, *cov)
+    once = [F.sum(wide(weight * F.col(x))).alias(f"t{i}") for i, x in enumerate(stats)]
+    twice = [F.sum(wide(weight * F.col(stats[i]) * F.col(stats[j]))).alias(f"t{i}_{j}") for i in range(len(stats)) for j in range(i + 1)]
+    return [F.sum(wide(weight)).alias("m"), *once, *twice]
 
 
-def _factor(params: DataFrame, group: list[str], d: int, floor: tuple[float, ...], consistency: float) -> DataFrame:
-    """The Cholesky factor of each covariance, widened for consistency and with a floor under its diagonal.
+def _names(d: int, letter: str) -> list[str]:
+    return [f"{letter}{i}_{j}" for i in range(d) for j in range(i + 1)]
 
-    The floor keeps a statistic that hardly varies within a group from rejecting small deviations.
-    """
-    out = params
+
+def _estimates(sums: DataFrame, keys: list[str], floor: tuple[float, ...], widen: float) -> DataFrame:
+    """keys, mu.., c.. (covariance times widen), l.. and logdet from weighted sums."""
+    d = len(floor)
+    number = lambda c: F.col(c).cast("double")
+    mean = {i: number(f"t{i}") / number("m") for i in range(d)}
+    cov = [((number(f"t{i}_{j}") / number("m") - mean[i] * mean[j]) * F.lit(widen / (SCALE * SCALE))).alias(f"c{i}_{j}") for i in range(d) for j in range(i + 1)]
+    return _factored(sums.select(*keys, *[m.alias(f"mu{i}") for i, m in mean.items()], *cov), floor)
+
+
+def _factored(params: DataFrame, floor: tuple[float, ...]) -> DataFrame:
+    """params with the Cholesky factor of covariance plus floor, and the logarithm of its determinant."""
+    out, d = params, len(floor)
     for i in range(d):
         for j in range(i + 1):
-            own = F.col(f"c{i}_{j}") * F.lit(consistency) + (F.lit(floor[i]) if i == j else F.lit(0.0))
+            own = F.col(f"c{i}_{j}") + (F.lit(floor[i]) if i == j else F.lit(0.0))
             rest = own - sum((F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j)), F.lit(0.0))
-            out = out.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}_{j}"))
-    return out.select(*group, *[f"mu{i}" for i in range(d)], *[f"l{i}_{j}" for i in range(d) for j in range(i + 1)])
+            # with the floor the matrix is positive definite but for rounding
+            out = out.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}_{j}"))
+    return out.withColumn("logdet", 2.0 * sum((F.log(F.col(f"l{i}_{i}")) for i in range(d)), F.lit(0.0)))
 
 
 def _distance(stats: tuple[str, ...]) -> Column:
@@ -120,69 +169,121 @@ def _distance(stats: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a + b, (z * z for z in solved))
 
 
-def mcd(rows: DataFrame, group: list[str], stats: tuple[str, ...] = STATS, share: float = 0.75, steps: int = 4, floor: tuple[float, ...] = FLOOR, least: int = 80, consistency: float = 1.6) -> DataFrame:
-    """Estimates (group, mu.., l..) of every group with at least least rows.
+def starts(points: DataFrame, key: str, stats: tuple[str, ...], floor: tuple[float, ...]) -> DataFrame:
+    """Three first estimates of each group, by column start.
 
-    Concentration starts from the moments of all rows of the group whose statistics
-    lie between their quartile-like positions: the rows nearest to the median in each
-    statistic, by a histogram of whole steps.
+    0: medians, all statistics alike; 1: mean and covariance of all; 2: medians, and
+    variances from the distance between the tenths at both ends.
     """
     d = len(stats)
-    counted = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n_group")).where(F.col("n_group") >= least)
-    counted = materialize(counted, "groups")
-    sized = small_join(rows, counted, group)
-    # medians from a histogram of whole steps: one row per group, statistic and step
-    tall = sized.select(*group, "n_group", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(s).alias("v")) for i, s in enumerate(stats)])).alias("x"))
-    steps_of = tall.groupBy(*group, "n_group", "x.k", "x.v").agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(*group, "k").orderBy("v"))
-    medians = steps_of.withColumn("u", upto).where(2 * F.col("u") >= F.col("n_group")).groupBy(*group).pivot("k", list(range(d))).agg(F.min("v"))
-    params = medians.select(*group, *[F.col(str(i)).cast("double").alias(f"mu{i}") for i in range(d)], *[F.lit(1.0 if i == j else 0.0).alias(f"l{i}_{j}") for i in range(d) for j in range(i + 1)])
-    params = materialize(params, "medians")
-    for _ in range(steps):
-        placed = small_join(sized, params, group).withColumn("d2", _distance(stats))
-        placed = placed.select(*group, "n_group", *stats, F.floor(F.log2(F.col("d2") + F.lit(1e-6)) * F.lit(float(BINS_PER_OCTAVE))).alias("bin"))
-        bins = placed.groupBy(*group, "n_group", "bin").agg(F.count(F.lit(1)).alias("c"))
-        upto = F.sum("c").over(Window.partitionBy(*group).orderBy("bin"))
-        cut = bins.withColumn("u", upto).where(F.col("u") >= F.lit(share) * F.col("n_group")).groupBy(*group).agg(F.min("bin").alias("cut"))
-        cut = materialize(cut, "cut")
-        chosen = small_join(placed, cut, group).where("bin <= cut")
-        params = materialize(_factor(_moments(group, chosen, stats), group, d, floor, consistency), "mcd")
+    tall = points.select(key, "w", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(s).alias("v")) for i, s in enumerate(stats)])).alias("x"))
+    steps = tall.groupBy(key, "x.k", "x.v").agg(F.sum("w").alias("w"))
+    # as many rows a group and statistic as it has whole steps
+    line = Window.partitionBy(key, "k")
+    placed = steps.withColumn("u", F.sum("w").over(line.orderBy("v"))).withColumn("n", F.sum("w").over(line))
+    at = lambda i, p: F.min(F.when((F.col("k") == i) & (10 * F.col("u") >= p * F.col("n")), F.col("v")))
+    each = placed.groupBy(key).agg(*[at(i, p).alias(f"{name}{i}") for i in range(d) for name, p in (("m", 5), ("a", 1), ("b", 9))])
+    spread = lambda i: F.pow((F.col(f"b{i}") - F.col(f"a{i}")) / F.lit(SCALE * 2 * 1.2815515655446004), F.lit(2.0))
+    centre = lambda number, var: each.select(key, F.lit(number).alias("start"), *[F.col(f"m{i}").cast("double").alias(f"mu{i}") for i in range(d)], *[(var(i) if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i in range(d) for j in range(i + 1)])
+    plain = _estimates(points.groupBy(key).agg(*_sums(F.col("w"), stats)), [key], floor, 1.0).withColumn("start", F.lit(1))
+    alike = _factored(centre(0, lambda i: F.lit(1.0)), (0.0,) * d)
+    return alike.unionByName(plain).unionByName(_factored(centre(2, spread), floor))
+
+
+def concentrate(points: DataFrame, params: DataFrame, key: str, stats: tuple[str, ...], share: float, floor: tuple[float, ...]) -> DataFrame:
+    """The estimates that rest on the nearest share of each group by the given ones."""
+    placed = points.join(params.select(key, "start", *[f"mu{i}" for i in range(len(stats))], *_names(len(stats), "l")), key)
+    placed = placed.withColumn("bin", F.floor(F.log2(_distance(stats) + F.lit(1e-6)) * F.lit(float(BINS_PER_OCTAVE))).cast("int"))
+    bins = placed.groupBy(key, "start", "bin").agg(*_sums(F.col("w"), stats))
+    # some 1,500 bins a group at most
+    group = Window.partitionBy(key, "start")
+    upto, total = F.sum("m").over(group.orderBy("bin")).cast("double"), F.sum("m").over(group).cast("double")
+    part = (F.lit(share) * total - (upto - F.col("m").cast("double"))) / F.col("m").cast("double")
+    taken = bins.withColumn("part", F.least(F.greatest(part, F.lit(0.0)), F.lit(1.0)).cast("decimal(10,9)")).where("part > 0")
+    names = ["m", *[f"t{i}" for i in range(len(stats))], *_names(len(stats), "t")]
+    sums = taken.groupBy(key, "start").agg(*[F.sum(F.col(n) * F.col("part")).alias(n) for n in names])
+    return _estimates(sums, [key, "start"], floor, consistency(share, len(stats)))
+
+
+def mcd(points: DataFrame, key: str = "g", stats: tuple[str, ...] = STATS, share: float = SHARE, floor: tuple[float, ...] | None = None) -> DataFrame:
+    """A row per group: key, start, mu.., c.., l.., logdet of the estimate of least determinant that was found.
+
+    points has the key, whole-number statistics and a weight w.
+    """
+    floor = floors() if floor is None else floor
+    params = materialize(starts(points, key, stats, floor), "starts")
+    for _ in range(2):
+        params = materialize(concentrate(points, params, key, stats, share, floor), "mcd")
+    best = params.groupBy(key).agg(F.min(F.struct("logdet", "start")).alias("b")).select(key, F.col("b.start").alias("start"))
+    params = params.join(best, [key, "start"])
+    for _ in range(STEPS):
+        before = params.select(key, F.col("logdet").alias("was"))
+        after = concentrate(points, params, key, stats, share, floor).join(before, key)
+        # a fall below a millionth is rounding, or a bin's edge
+        params, seen = observed(after, "mcd", {"falls": F.count_if(F.col("was") - F.col("logdet") > 1e-6)})
+        params = params.drop("was")
+        if not seen["falls"]:
+            break
     return params
 
 
-def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), cutoff: float = 60.0, least: int = 80, floor: tuple[float, ...] = FLOOR, share: float = 0.75, steps: int = 4) -> DataFrame:
+def _drawn(own: DataFrame, parent: dict[str, Column], d: int, shrink: float) -> DataFrame:
+    """own with mean and covariance moved towards the parent's, which counts for shrink documents."""
+    mine = F.col("n_group") / (F.col("n_group") + F.lit(float(shrink)))
+    names = [f"mu{i}" for i in range(d)] + _names(d, "c")
+    others = [c for c in own.columns if c not in names and not c.startswith(("l0", "l1", "l2", "l3", "logdet", "p_"))]
+    return own.select(*others, *[(mine * F.col(n) + (F.lit(1.0) - mine) * parent[n]).alias(n) for n in names])
+
+
+def estimates(passed: DataFrame, share: float = SHARE, floor: tuple[float, ...] | None = None, shrink: float = SHRINK) -> DataFrame:
+    """(g_lang, g_source, mu.., l..): the estimate of each language and source, drawn towards its parents'."""
+    floor, d = floors() if floor is None else floor, len(STATS)
+    cells = materialize(passed.groupBy("g_lang", "g_source", *STATS).agg(F.count(F.lit(1)).alias("w")), "cells")
+    level = F.explode(F.array(F.struct("g_lang", "g_source"), F.struct(F.col("g_lang"), F.lit(None).cast("string").alias("g_source")), F.struct(F.lit(None).cast("string").alias("g_lang"), F.lit(None).cast("string").alias("g_source"))))
+    # g_lang and g_source are never null, so null marks a wider group
+    points = cells.select(level.alias("x"), *STATS, "w").withColumn("g", F.to_json("x"))
+    points = materialize(points.groupBy("g", "x", *STATS).agg(F.sum("w").alias("w")), "points")
+    sizes = points.groupBy("g").agg(F.sum("w").alias("n_group"), F.first("x").alias("x"))
+    found = mcd(points.drop("x"), "g", STATS, share, floor).join(sizes, "g").select("x.*", "n_group", *[f"mu{i}" for i in range(d)], *_names(d, "c"))
+    found = materialize(found, "levels")
+    names = [f"mu{i}" for i in range(d)] + _names(d, "c")
+    top = found.where("g_lang is null").first()
+    whole = {n: F.lit(float(top[n]) if top else 0.0) for n in names}
+    langs = _drawn(found.where("g_lang is not null and g_source is null").drop("g_source"), whole, d, shrink)
+    parent = langs.select("g_lang", *[F.col(n).alias(f"p_{n}") for n in names])
+    own = found.where("g_source is not null").join(parent, "g_lang")
+    drawn = _drawn(own, {n: F.col(f"p_{n}") for n in names}, d, shrink)
+    return materialize(_factored(drawn, floor).select("g_lang", "g_source", *[f"mu{i}" for i in range(d)], *_names(d, "l")), "estimates")
+
+
+def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), min_words: int = 50, max_repeat_percent: int = 50, quantile: float = QUANTILE, share: float = SHARE, tolerance: tuple[float, ...] = TOLERANCE, shrink: float = SHRINK) -> DataFrame:
     """One row per document: the columns of keep, the base counts, base_failed, d2, kept.
 
     A document that the base rules pass is rejected if its squared distance from the
-    estimate of its language and source is above cutoff. A null language or source is a group of its own. Groups of fewer than least
-    passing documents take the estimate of their language, then of all; where even all
-    are fewer, no document is rejected and d2 is null. Null and empty texts have no
-    words and fail the base rules. Repeated rows are judged alike. Extra columns are
-    ignored; an empty table gives no rows.
+    estimate of its language and source is above the chi-square quantile. A null language
+    or source is a group of its own. Groups of any size are judged: small ones lean on
+    their language's estimate, and that on all. Null and empty texts have no words and fail
+    the base rules (for min_words of 1 or more). Repeated rows are judged alike. Extra
+    columns are ignored, those of keep pass, whatever their names but those above; an empty
+    table gives no rows.
     """
-    if not math.isfinite(cutoff) or cutoff <= 0:
-        raise ValueError("cutoff is a positive number")
-    named = docs.select(*keep, text_of().alias("text"), *[F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")).alias(f"g_{c}") for c in ("lang", "source")])
-    counts = base_counts(named, [*keep, "g_lang", "g_source"]).withColumn("base_failed", base_failed())
+    if not 0 < quantile < 1 or not 0.5 <= share < 1:
+        raise ValueError("quantile lies between 0 and 1, share from 0.5 to 1")
+    floor = floors(tolerance, quantile)
+    named = docs.select(*keep, text_of().alias("__text"), *[F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")).alias(f"g_{c}") for c in ("lang", "source")])
+    counts = base_counts(named, [*keep, "g_lang", "g_source"], "__text").withColumn("base_failed", base_failed(min_words, max_repeat_percent))
     counts = materialize(counts.select("*", *statistics()), "counts")
-    passed = counts.where("not base_failed").withColumn("g_all", F.lit("all")).select("g_lang", "g_source", "g_all", *STATS)
-    judged = counts.withColumn("g_all", F.lit("all")).withColumn("d2", F.lit(None).cast("double"))
-    for level in (["g_lang", "g_source"], ["g_lang"], ["g_all"]):
-        params = mcd(passed, level, least=least, floor=floor, share=share, steps=steps)
-        own = [c for c in params.columns if c not in level]
-        judged = small_join(judged, params, level, "left").withColumn("d2", F.coalesce("d2", _distance(STATS))).drop(*own)
-        # the wider estimates are for documents whose group was too small
-        if not judged.where("d2 is null and not base_failed").limit(1).count():
-            break
-    fits = F.coalesce(F.col("d2"), F.lit(0.0)) <= F.lit(cutoff)
+    params = estimates(counts.where("not base_failed").select("g_lang", "g_source", *STATS), share, floor, shrink)
+    judged = counts.join(params, ["g_lang", "g_source"], "left").withColumn("d2", F.when(~F.col("base_failed"), _distance(STATS)))
+    fits = F.coalesce(F.col("d2"), F.lit(0.0)) <= F.lit(chi_square_quantile(quantile, len(STATS)))
     return judged.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", (~F.col("base_failed") & fits).alias("kept"))
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that the rules keep, all columns unchanged. Options are those of judge."""
-    identity = F.xxhash64("doc_id", "text", "lang", "source")
-    judged = judge(docs.withColumn("__key", identity), keep=("doc_id", "__key"), **options)
-    rejected = judged.where("not kept").select(F.col("doc_id").alias("__id"), F.col("__key").alias("__key2")).distinct()
-    keyed = docs.withColumn("__key", identity)
-    both = (keyed["__key"] == F.col("__key2")) & keyed["doc_id"].eqNullSafe(F.col("__id"))
-    return keyed.join(rejected, both, "left_anti").drop("__key")
+    """The rows of docs that the rules keep, all columns unchanged. Options, nulls and ties are as in judge.
+
+    A row travels as one struct with its statistics, so texts are written once and not
+    shuffled, repeated rows stay repeated, and any column names pass.
+    """
+    rows = docs.select(F.struct("*").alias("row")).select("row", "row.text", "row.lang", "row.source")
+    return judge(rows, keep=("row",), **options).where("kept").select("row.*")
