@@ -36,6 +36,10 @@ class Vocabulary:
         self.partial = {i for i, b in self.byte_of.items() if b >= 128}
         self.plain = [chr(self.byte_of[i]) if self.byte_of.get(i, 128) < 128 else name for i, name in enumerate(self.names)]
         self.longest = max(map(len, self.ids))
+        self.processor = processor
+        #: A character that no piece joins to another, and what the model makes of it: units are encoded behind it.
+        self.mark = next(c for c in "\n\t\x01\x02\x03" if not any(c in name and len(name) > 1 for name in self.names))
+        self.marked = processor.encode(self.mark)
         # merge models score by rank, 0, -1, -2, ...: that is read as a logarithm of Zipf's law
         ranks = all(x <= 0 and x == int(x) for x in self.scores.values())
         #: Logarithms of how likely each piece is, for paths over the lattice, in whole
@@ -76,6 +80,10 @@ class Vocabulary:
         """The text as the model sees it: spaces marked, and one in front. Empty stays empty."""
         return SPACE + text.replace(" ", SPACE) if text else ""
 
+    def merged(self, unit: str) -> list[int]:
+        """The library's identifiers of a unit: merges do not cross its borders, so a text's are those of its units."""
+        return self.processor.encode(self.mark + unit.replace(SPACE, " "))[len(self.marked) :]
+
     def units(self, normal: str) -> list[str]:
         return self.unit.findall(normal)
 

@@ -54,7 +54,7 @@ def all_paths(own, unit):
     if not unit:
         return [(0, ())]
     out = []
-    for start, score, ids in own.forward(unit)[1][len(unit)]:
+    for start, score, ids in own.into(unit, len(unit)):
         out += [(s + score, p + ids) for s, p in all_paths(own, unit[:start])]
     return out
 
@@ -65,7 +65,18 @@ def test_n_best_equals_brute_force():
     for _ in range(200):
         unit = "".join(rng.choices("▁theranins日𝒳", k=rng.randint(1, 9)))
         every = sorted((s for s, _ in all_paths(own, unit)), reverse=True)[:4]
-        assert [s for s, _ in own.n_paths(unit)] == every
+        assert [s for s, _ in own.n_paths(unit)] == every and own.worst_wanted(unit) == every[-1]
+        assert own.forward(unit)[-1] == every[0]
+
+
+def test_long_units_hold_little(monkeypatch):
+    own = lattice.Segmenter(pieces.vocabulary(MODEL), 3)
+    rng = random.Random(9)
+    units = ["".join(rng.choices("theranins日", k=rng.randint(20, 60))) for _ in range(50)]
+    whole = [own.n_paths(u) for u in units]
+    monkeypatch.setattr(lattice, "LONG_UNIT", 4)
+    assert [[s for s, _ in own.n_paths(u)] for u in units] == [[s for s, _ in p] for p in whole]
+    assert len(own.encode("x" * 100_000)[2]) == 3
 
 
 def test_n_best_of_a_text_combines_units():
@@ -73,7 +84,7 @@ def test_n_best_of_a_text_combines_units():
     for text in texts(6, 60, 4):
         units = own.vocab.units(own.vocab.normalize(text))
         sums = sorted((sum(x) for x in itertools.product(*[[s for s, _ in own.n_paths(u)] for u in units])), reverse=True)[:3] if len(units) < 7 else None
-        ids, scores = own.encode(text)
+        _, ids, scores = own.encode(text)
         if sums is not None:
             assert scores == [x / pieces.MILLION for x in sums]
         listed = own.n_encodings(text)
@@ -85,10 +96,11 @@ def test_n_best_of_a_text_combines_units():
 def test_round_trip_and_library_decoding(processor):
     own = lattice.Segmenter(pieces.vocabulary(MODEL), 2)
     for text in [*texts(7, 1500), "x" * 5000, "日" * 300]:
-        ids, _ = own.encode(text)
+        library, ids, _ = own.encode(text)
         assert lattice.decode(own.vocab, ids.tolist()) == text.replace("▁", " ")
         assert processor.decode(ids.tolist()) == text.replace("▁", " ")
         theirs = processor.encode(text)
+        assert library.tolist() == theirs
         assert lattice.decode(own.vocab, theirs) == text.replace("▁", " ")
 
 
@@ -102,3 +114,23 @@ def test_encode_documents(spark):
     back = {(r.doc_id or 0): r.text for r in lattice.decode_documents(encoded, ["doc_id"]).collect()}
     assert back == {0: "day " * 5000, 1: "Hello world", 2: "", 3: ""}
     assert lattice.encode_documents(docs.limit(0), ["doc_id"]).collect() == []
+    named = lattice.encode_documents(docs.withColumn("n_pieces", docs["doc_id"]).withColumn("scores", docs["text"]), ["doc_id", "n_pieces", "scores", "ids"], paths=False)
+    assert named.columns == ["doc_id", "ids", "n_pieces", "scores"] and named.count() == 5
+
+
+def test_query(spark, docs, rows, tmp_path, processor):
+    """Every column of the query by the library, and by the lattice of whole texts."""
+    import hashlib
+
+    from meshlake.llm import queries
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op4_sentencepiece(spark, str(tmp_path)).collect()}
+    own = lattice.Segmenter(pieces.vocabulary(MODEL), queries.N_BEST)
+    digest = lambda ids: hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    for doc_id, text, *_ in rows:
+        r, theirs = got[doc_id], processor.encode(text or "")
+        assert (r.n_pieces, r.ids_sha256, r.round_trip) == (len(theirs), digest(theirs), True)
+        best = own.n_encodings(text)
+        assert r.scores == [s / pieces.MILLION for s, _ in best] and r.score == r.scores[0]
+        assert (r.n_lattice, r.lattice_sha256) == (len(best[0][1]), digest(best[0][1]))
