@@ -105,12 +105,25 @@ def morton(x: Column, y: Column, z: Column, bits: int = 10) -> Column:
     return out
 
 
-def erfinv(x: Column) -> Column:
-    """Inverse error function for 0 <= x < 1, by a rational start and two Newton steps on a series-free form."""
+#: Coefficients of erf(x) sqrt(pi) / (2 x) in powers of x squared: enough for x up to 3.
+ERF_SERIES = [(-1) ** n / (math.factorial(n) * (2 * n + 1)) for n in range(48)]
+
+
+def erf(x: Column) -> Column:
+    """The error function by its Maclaurin series, for x from 0 to 3."""
+    series = F.aggregate(F.array(*[F.lit(float(c)) for c in reversed(ERF_SERIES)]), F.lit(0.0), lambda acc, c: acc * x * x + c)
+    return F.lit(2.0 / math.sqrt(math.pi)) * x * series
+
+
+def erfinv(y: Column) -> Column:
+    """Inverse error function for 0 <= y <= 0.9999: a closed approximation and three Newton steps on the series."""
     a = 0.147
-    w = F.log(F.lit(1.0) - x * x)
+    w = F.log(F.lit(1.0) - y * y)
     t = F.lit(2.0 / (math.pi * a)) + w / 2.0
-    return F.sqrt(F.sqrt(t * t - w / F.lit(a)) - t)
+    start = F.sqrt(F.sqrt(t * t - w / F.lit(a)) - t)
+    step = lambda x: x - (erf(x) - y) * F.lit(math.sqrt(math.pi) / 2.0) * F.exp(x * x)
+    # each step's value is computed once, however often the next one uses it
+    return F.aggregate(F.array(*[F.lit(0)] * 3), start, lambda x, _: step(x))
 
 
 def layer_thickness(phi: Column, sigma: float) -> Column:
@@ -119,10 +132,10 @@ def layer_thickness(phi: Column, sigma: float) -> Column:
 
 
 def hcp_point(i: Column, j: Column, k: Column, h: float) -> Point:
-    """A point of the hexagonal close packing of spacing h."""
-    odd_k, odd_j = F.pmod(k, F.lit(2)), F.pmod(j + k, F.lit(2))
+    """A point of the lattice of spacing h: rows of odd j and layers of odd k are each shifted by half a spacing."""
+    odd_k, odd_j = F.pmod(k, F.lit(2)), F.pmod(j, F.lit(2))
     return (
-        F.lit(h) * (i + 0.5 * odd_j),
+        F.lit(h) * (i + 0.5 * odd_j + 0.5 * odd_k),
         F.lit(h * math.sqrt(3.0) / 2.0) * (j + F.lit(1.0 / 3.0) * odd_k),
         F.lit(h * math.sqrt(6.0) / 3.0) * k,
     )
@@ -137,3 +150,28 @@ def grade(h: Column, least: float, most: float, steps: int = 256) -> Column:
 
 def grade_size(g: Column, least: float, most: float, steps: int = 256) -> Column:
     return F.lit(least) * F.exp(g * F.lit(math.log(most / least) / (steps - 1)))
+
+
+def seed_level(grade_: Column, levels: int, grades: int = 256) -> Column:
+    """The coarse level of a size grade."""
+    return F.lit(0) if levels <= 1 else F.floor(grade_ * (F.lit(float(levels - 1)) / F.lit(float(grades - 1))) + 0.5).cast("int")
+
+
+def seed_spacing(level: Column, levels: int, least: float, most: float) -> Column:
+    """The lattice spacing of a level, geometric from least to most."""
+    return F.lit(float(least)) if levels <= 1 else F.lit(float(least)) * F.pow(F.lit(most / least), level / F.lit(float(levels - 1)))
+
+
+def point_triangle_distance(p: Point, t: list[Point]) -> Column:
+    """The distance from a point to a triangle: to its plane where the foot lies inside, else to the nearest side."""
+
+    def to_segment(a: Point, b: Point) -> Column:
+        ab, ap = sub(b, a), sub(p, a)
+        along = F.least(F.greatest(dot(ap, ab) / F.greatest(dot(ab, ab), F.lit(1e-300)), F.lit(0.0)), F.lit(1.0))
+        off = tuple(x - along * y for x, y in zip(ap, ab, strict=True))
+        return norm(off)
+
+    n = cross(sub(t[1], t[0]), sub(t[2], t[0]))
+    sides = [dot(cross(sub(t[(k + 1) % 3], t[k]), sub(p, t[k])), n) for k in range(3)]
+    inside = (dot(n, n) > 0) & (sides[0] >= 0) & (sides[1] >= 0) & (sides[2] >= 0)
+    return F.when(inside, F.abs(dot(sub(p, t[0]), n)) / norm(n)).otherwise(F.least(*[to_segment(t[k], t[(k + 1) % 3]) for k in range(3)]))

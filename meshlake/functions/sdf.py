@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshlake.functions.geometry import Point, dot
+from meshlake.operators.ordering import global_row_number
 
 
 def _offset(p: Point, c: tuple[float, float, float]) -> Point:
@@ -98,8 +99,8 @@ def overlap_tag(fields: list[tuple[int, Column]], rule: str, order: list[int] |
 
     overwrite: the last drawn. max, min: the greatest or least tag. order: the first of
     order, then the others as drawn. union: the first object's tag for all. split: the
-    greatest field, of equal ones the lowest tag. cells: 1 + the number formed by the
-    membership bits, so that each combination is a region.
+    greatest field, of equal ones the lowest tag. cells: the number formed by the membership
+    bits; overlap_cells ranks those that occur. overlap_nest ranks objects by their size.
     """
     inside = [(tag, s > 0) for tag, s in fields]
     if rule == "cells":
@@ -118,3 +119,27 @@ def overlap_tag(fields: list[tuple[int, Column]], rule: str, order: list[int] |
         "order": [x for t in order or [] for x in inside if x[0] == t] + [x for x in inside if x[0] not in (order or [])],
     }[rule]
     return F.coalesce(*[F.when(x, F.lit(tag)) for tag, x in ranked], F.lit(0))
+
+
+def overlap_cells(points: DataFrame, fields: list[tuple[int, Column]]) -> DataFrame:
+    """points with tag: each combination of objects that occurs is a region.
+
+    Inside one object alone that is its tag; the other combinations follow the greatest tag
+    in the order of their membership bits; outside all it is 0. At most 62 objects.
+    """
+    if len(fields) > 62:
+        raise ValueError("cells are told apart by 62 bits")
+    bits = reduce(lambda a, b: a + b, [F.when(s > 0, F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, (_, s) in enumerate(fields)])
+    alone = F.coalesce(*[F.when(F.col("__bits") == (1 << k), F.lit(tag)) for k, (tag, _) in enumerate(fields)], F.when(F.col("__bits") == 0, F.lit(0)))
+    marked = points.withColumn("__bits", bits)
+    occurring = marked.select("__bits").distinct().where(alone.isNull())
+    # as many rows as combinations occur
+    ranked = global_row_number(occurring, [F.col("__bits")], "__rank", max(tag for tag, _ in fields) + 1)
+    return marked.join(ranked, "__bits", "left").withColumn("tag", F.coalesce(alone, F.col("__rank")).cast("int")).drop("__bits", "__rank")
+
+
+def overlap_nest(points: DataFrame, fields: list[tuple[int, Column]]) -> DataFrame:
+    """points with tag: of the objects that a point is inside, the one that holds the fewest points; of equal ones the lowest tag."""
+    counts = points.agg(*[F.count(F.when(s > 0, 1)).alias(f"n{tag}") for tag, s in fields]).first()
+    order = sorted(fields, key=lambda x: (counts[f"n{x[0]}"], x[0]))
+    return points.withColumn("tag", F.coalesce(*[F.when(s > 0, F.lit(tag)) for tag, s in order], F.lit(0)).cast("int"))

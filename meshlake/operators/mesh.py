@@ -96,9 +96,11 @@ def quality_rows(tets: DataFrame, nodes: DataFrame) -> DataFrame:
     return tet_points(tets, nodes).select("tid", "label", tet_volume6(p).alias("volume6"), joe_liu(p).alias("quality"), min_dihedral(p).alias("dihedral"), radius_edge(p).alias("radius_edge"))
 
 
-def positional(rows: DataFrame, value: str, places: dict[str, int]) -> DataFrame:
+def positional(rows: DataFrame, value: str, places: dict[str, int | tuple[int, int]]) -> DataFrame:
     """One row with the 0-based element n div d of the sorted values for each (name, d); d = 0 is the least.
 
+    A pair (k, d) stands for element n * k div d, the last one at most.
+
     No interpolation. Equal values are counted first, and positions are found from a
     running count over the distinct values, which are numbered without a global sort in
     one task.
@@ -111,7 +113,8 @@ def positional(rows: DataFrame, value: str, places: dict[str, int]) -> DataFrame
     upto = F.sum("c").over(Window.partitionBy("__bucket").orderBy("__rn"))
     n = rows.count()
     placed = ranked.join(offsets, "__bucket").select(value, (F.col("off") + upto).alias("upto"))
-    at = lambda d: 0 if d == 0 else min(n // d, max(n - 1, 0))
+    pair = lambda d: d if isinstance(d, tuple) else (1, d)
+    at = lambda d: 0 if d == 0 else min(n * pair(d)[0] // pair(d)[1], max(n - 1, 0))
     return placed.agg(*[F.min(F.when(F.col("upto") > at(d), F.col(value))).alias(name) for name, d in places.items()])
 
 
@@ -176,15 +179,19 @@ def tet_label_conflicts(tets: DataFrame, sets: DataFrame) -> DataFrame:
     return tets.select("tid").join(common, "tid", "left").select("tid", F.coalesce("common", F.array().cast("array<int>")).alias("common")).withColumn("n_common", F.size("common"))
 
 
+def face_points(faces: DataFrame, nodes: DataFrame) -> DataFrame:
+    """faces with ax .. cz. Corners are gathered by one join and one aggregation over the corners themselves."""
+    keys = ["v0", "v1", "v2", "inner", "outer"]
+    tall = faces.select(*keys, F.posexplode(F.array("v0", "v1", "v2")).alias("k", "nid")).join(nodes.select("nid", "x", "y", "z"), "nid")
+    return tall.groupBy(*keys).agg(*[F.max(F.when(F.col("k") == k, F.col(a))).alias(f"{c}{a}") for k, c in enumerate("abc") for a in "xyz"])
+
+
 def interface_areas(faces: DataFrame, nodes: DataFrame) -> DataFrame:
     """(inner, outer, n, area) and the volume that the pair's faces enclose by the divergence theorem."""
     from meshlake.functions.geometry import det3, triangle_area
 
-    numbered = faces.withColumn("fid", F.xxhash64("v0", "v1", "v2"))
-    tall = numbered.select("fid", "inner", "outer", F.posexplode(F.array("v0", "v1", "v2")).alias("k", "nid")).join(nodes.select("nid", "x", "y", "z"), "nid")
-    wide = tall.groupBy("fid", "inner", "outer").agg(*[F.max(F.when(F.col("k") == k, F.col(a))).alias(f"p{k}{a}") for k in range(3) for a in "xyz"])
-    p = [(F.col(f"p{k}x"), F.col(f"p{k}y"), F.col(f"p{k}z")) for k in range(3)]
-    return wide.select("inner", "outer", triangle_area(p).alias("s"), (det3(*p) / 6.0).alias("v")).groupBy("inner", "outer").agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("area"), F.sum("v").alias("enclosed"))
+    p = [(F.col(f"{c}x"), F.col(f"{c}y"), F.col(f"{c}z")) for c in "abc"]
+    return face_points(faces, nodes).select("inner", "outer", triangle_area(p).alias("s"), (det3(*p) / 6.0).alias("v")).groupBy("inner", "outer").agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("area"), F.sum("v").alias("enclosed"))
 
 
 def same_label_components(tets: DataFrame) -> DataFrame:
@@ -211,16 +218,23 @@ def canonical_tets(tets: DataFrame) -> DataFrame:
     return tets.select("tid", s[0].alias("v0"), s[1].alias("v1"), F.when(odd, s[3]).otherwise(s[2]).alias("v2"), F.when(odd, s[2]).otherwise(s[3]).alias("v3"), "label")
 
 
-def check_report(tets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One row: counts of tetrahedra, inverted, flat, open and region-open edges, and ok."""
-    quality = quality_rows(tets, nodes)
-    faces = extract_faces(tets)
-    counts = quality.agg(
+def check_report(tets: DataFrame, nodes: DataFrame, cell: float = 1.0) -> DataFrame:
+    """One row: counts of tetrahedra, inverted, flat, slivers, open and region-open edges, crossings of faces, and ok.
+
+    cell is about the size of a face. The faces are written once for the three counts on them.
+    """
+    from meshlake.operators.surfaces import triangle_crossings
+
+    faces = materialize(extract_faces(tets), "faces")
+    counts = quality_rows(tets, nodes).agg(
         F.count(F.lit(1)).alias("n_tets"),
         F.least(F.count(F.when(F.col("volume6") > 0, 1)), F.count(F.when(F.col("volume6") < 0, 1))).alias("n_inverted"),
         F.count(F.when(F.col("volume6") == 0, 1)).alias("n_flat"),
         F.count(F.when(F.col("dihedral") < 10, 1)).alias("n_slivers"),
     )
-    edges = edge_incidence(faces).agg(F.sum(F.when(F.col("region") == -1, F.col("n_open")).otherwise(0)).alias("n_open"), F.sum(F.when(F.col("region") != -1, F.col("n_open")).otherwise(0)).alias("n_region_open"))
+    edges = edge_incidence(faces).agg(F.coalesce(F.sum(F.when(F.col("region") == -1, F.col("n_open")).otherwise(0)), F.lit(0)).alias("n_open"), F.coalesce(F.sum(F.when(F.col("region") != -1, F.col("n_open")).otherwise(0)), F.lit(0)).alias("n_region_open"))
+    crossings = triangle_crossings(face_points(faces, nodes).withColumn("fid", F.struct("v0", "v1", "v2")), cell).agg(F.count(F.lit(1)).alias("n_crossings"))
+    # three tables of one row
     one = lambda df: df.withColumn("__one", F.lit(1))
-    return one(counts).join(one(edges), "__one").drop("__one").withColumn("ok", (F.col("n_inverted") == 0) & (F.col("n_open") == 0) & (F.col("n_region_open") == 0))
+    sound = (F.col("n_inverted") == 0) & (F.col("n_open") == 0) & (F.col("n_region_open") == 0) & (F.col("n_crossings") == 0)
+    return one(counts).join(one(edges), "__one").join(one(crossings), "__one").drop("__one").withColumn("ok", sound)

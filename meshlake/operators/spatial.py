@@ -30,7 +30,7 @@ def near_pairs(points: DataFrame, radius: float, keep: tuple[str, ...] = ()) ->
 
 
 def truss(points: DataFrame, reach: float, most: int = 24) -> DataFrame:
-    """(i, j, dist, rn): up to most nearest neighbours of each point, by distance and then number.
+    """(i, j, dist, rn): up to most nearest neighbours of each point, by distance in billionths and then number.
 
     points are pid, x, y, z, label, typ, h. A pair counts if its distance is below
     reach * (h_i + h_j) / 2; interior points (typ 0) of different labels are not joined.
@@ -41,7 +41,7 @@ def truss(points: DataFrame, reach: float, most: int = 24) -> DataFrame:
     pairs = near_pairs(points, reach * float(top), ("label", "typ", "h"))
     pairs = pairs.where((F.col("dist") < F.lit(reach) * (F.col("h_i") + F.col("h_j")) / 2) & ~((F.col("typ_i") == 0) & (F.col("typ_j") == 0) & (F.col("label_i") != F.col("label_j"))))
     both = pairs.select("i", "j", "dist").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "dist"))
-    return both.withColumn("rn", F.row_number().over(Window.partitionBy("i").orderBy("dist", "j"))).where(F.col("rn") <= most)
+    return both.withColumn("rn", F.row_number().over(Window.partitionBy("i").orderBy(F.round("dist", 9), "j"))).where(F.col("rn") <= most)
 
 
 def spring_forces(bars: DataFrame, points: DataFrame, scale: float = 1.2) -> DataFrame:

@@ -65,6 +65,19 @@ def channel_labels(names: list[str], explicit: list[int] | None = None) -> list[
     return out
 
 
+#: The bin of six (gray, white, fluid, bone, soft, air) of each of 18 head classes, in the order
+#: background, gray, white, fluid, ventricles, cerebellum, thalamus, pallidum, putamen, caudate, accumbens,
+#: amygdala, hippocampus, dura, vessels, skull, head, anomalies.
+SIX_OF_EIGHTEEN = (5, 0, 1, 2, 2, 0, 0, 0, 0, 0, 0, 0, 0, 3, 4, 3, 4, 0)
+
+
+def six_class_labels(n_channels: int) -> list[int]:
+    """Labels of 18 head channels merged into six classes: air is the exterior, 0, the others 1 to 5."""
+    if n_channels != len(SIX_OF_EIGHTEEN):
+        raise ValueError(f"the merge into six classes takes 18 channels, not {n_channels}")
+    return [0 if k == 5 else k + 1 for k in SIX_OF_EIGHTEEN]
+
+
 def probability_scale(top: float) -> float:
     """What probabilities are divided by: 1 up to 1.5, 255 up to 255, else their maximum."""
     return 1.0 if top <= 1.5 else 255.0 if top <= 255 else top
@@ -143,6 +156,30 @@ def exterior_depth(dense: DataFrame, most: int = 3) -> DataFrame:
     return dense.join(reach, list(AXES), "left")
 
 
+def without_deep_exterior(prob: DataFrame, dense: DataFrame, n: int, p: str = "p") -> DataFrame:
+    """prob with the exterior's probability 0, and the tissues' rescaled to 1, more than two steps inside.
+
+    Steps are 6-connected, from the nearest voxel of label 0 of dense. Voxels without an
+    exterior probability stay as they are, and where no tissue has any only the first goes.
+    """
+    near = exterior_depth(dense, 2).where("depth is not null").select(*AXES, F.lit(True).alias("near"))
+    tissues = sum((F.col(p)[k] for k in range(2, n)), F.col(p)[1])
+    scaled = F.array(F.lit(0.0), *[F.when(tissues > 0, F.col(p)[k] / tissues).otherwise(F.col(p)[k]) for k in range(1, n)])
+    changed = F.when(F.col("near").isNull() & (F.col(p)[0] > 0), scaled).otherwise(F.col(p))
+    return prob.join(near, list(AXES), "left").withColumn(p, changed).drop("near")
+
+
+def shift_fields(p: Column, n: int, bias: dict[int, float]) -> Column:
+    """Fields raised by each label's bias, so that a threshold moves the interface."""
+    return F.array(*[p[k] + F.lit(float(bias.get(k, 0.0))) for k in range(n)])
+
+
+def voxel_of(points: DataFrame, dense: DataFrame, value: str, size: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+    """points (pid, px, py, pz) with the value of the voxel whose centre is nearest; null outside. An equality join."""
+    at = points.withColumns({a: F.floor(F.col(f"p{a}") / F.lit(float(s)) + 0.5).cast("int") for a, s in zip(AXES, size, strict=True)})
+    return at.join(dense.select(*AXES, value), list(AXES), "left").select(*points.columns, value)
+
+
 def flood(dense: DataFrame, seeds: DataFrame) -> DataFrame:
     """Voxels of dense reachable from seeds over 6-neighbours within dense; both have x, y, z.
 
@@ -184,14 +221,19 @@ def fill_holes(dense: DataFrame, size: tuple[int, int, int]) -> DataFrame:
     return dense.join(new, list(AXES), "left").withColumn("label", F.coalesce("new", "label")).drop("new")
 
 
-def minimum_gap(dense: DataFrame, a: int, b: int, c: int, d: float) -> DataFrame:
-    """Voxels of label a with a voxel of label c nearer than d + 1 (in voxels) become b."""
+def minimum_gap(dense: DataFrame, a: int, b: int, c: int, d: float, p: str | None = None) -> DataFrame:
+    """Voxels of label a with a voxel of label c nearer than d + 1 (in voxels) become b, and their probability in p moves along."""
     reach = math.ceil(d + 1)
     r = range(-reach, reach + 1)
     ball = [(i, j, k) for i in r for j in r for k in r if math.sqrt(i * i + j * j + k * k) < d + 1]
     near = dilate(dense.where(F.col("label") == c), ball).select(*AXES).distinct().withColumn("near", F.lit(True))
-    changed = F.when((F.col("label") == a) & F.col("near"), F.lit(b)).otherwise(F.col("label"))
-    return dense.join(near, list(AXES), "left").withColumn("label", changed.cast("int")).drop("near")
+    hit = (F.col("label") == a) & F.col("near").isNotNull()
+    out = dense.join(near, list(AXES), "left")
+    if p is not None:
+        # what a had there goes to b
+        moved = F.transform(p, lambda v, k: F.when(k == a, F.lit(0.0)).when(k == b, v + F.col(p)[a]).otherwise(v))
+        out = out.withColumn(p, F.when(hit, moved).otherwise(F.col(p)))
+    return out.withColumn("label", F.when(hit, F.lit(b)).otherwise(F.col("label")).cast("int")).drop("near")
 
 
 def interface_size(a: Column, b: Column, pair: Column, size_a: Column, size_b: Column, default: float) -> Column:

@@ -66,13 +66,9 @@ def probability_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("x", "y", "z", F.array(*[F.col(f"c{k}") / (F.col("n") + 10).cast("double") for k in (1, 2, 3)]).alias("p"))
 
 
-def whole_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mesh.voxel_tets(voxel_volume(spark, sf_dir), NX, NY)
-
-
 def tet_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part of the mesh that the SQL of its queries covers: voxels with x <= 12."""
-    return mesh.voxel_tets(voxel_volume(spark, sf_dir).where("x <= 12"), NX, NY)
+    """Six tetrahedra for each voxel of the whole volume."""
+    return mesh.voxel_tets(voxel_volume(spark, sf_dir), NX, NY)
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +80,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points from lineitem's distinct cells with a size, label and type."""
-    v = voxel_volume(spark, sf_dir).where("x <= 20")
+    v = voxel_volume(spark, sf_dir)
     pid = (F.col("x") + NX * (F.col("y") + NY * F.col("z"))).cast("long")
     jitter = lambda k: F.pmod(pid * k, F.lit(19)) / F.lit(40.0)
     return v.select(pid.alias("pid"), *[(F.col(a).cast("double") + jitter(k)).alias(a) for a, k in (("x", 5), ("y", 7), ("z", 11))], "label", F.pmod(pid, F.lit(3)).cast("int").alias("typ"), (0.8 + F.pmod(pid, F.lit(5)) / 10.0).alias("h"))
@@ -94,7 +90,7 @@ VOXEL = """
 li AS (SELECT CAST(l_quantity AS INT) AS x, CAST(round(l_discount * 100) AS INT) AS y, CAST(round(l_tax * 100) AS INT) AS z,
               CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS l, l_orderkey FROM lineitem),
 cells AS (SELECT x, y, z, l, count(*) AS c FROM li GROUP BY x, y, z, l),
-voxel AS (SELECT x, y, z, CAST(arg_max(l, c * 10 - l) AS INT) AS label FROM cells GROUP BY x, y, z)"""
+voxel AS MATERIALIZED (SELECT x, y, z, CAST(arg_max(l, c * 10 - l) AS INT) AS label FROM cells GROUP BY x, y, z)"""
 GRID = f"""
 grid AS (SELECT CAST(i AS INT) AS x, CAST(j AS INT) AS y, CAST(k AS INT) AS z FROM range({NX}) a(i), range({NY}) b(j), range({NZ}) c(k))"""
 DENSE = f"{VOXEL},{GRID},\ndense AS (SELECT g.x, g.y, g.z, coalesce(v.label, 0) AS label FROM grid g LEFT JOIN voxel v USING (x, y, z))"
@@ -105,25 +101,25 @@ TETS = (
     VOXEL
     + ",\nkuhn(k, a, b, c, d) AS (VALUES "
     + ", ".join(f"({k}, {', '.join(map(str, t))})" for k, t in enumerate(mesh.KUHN))
-    + "),\ntet AS (SELECT CAST(x + %d * (y + %d * z) AS BIGINT) * 6 + k AS tid, " % (NX, NY)
+    + "),\ntet AS MATERIALIZED (SELECT CAST(x + %d * (y + %d * z) AS BIGINT) * 6 + k AS tid, " % (NX, NY)
     + ", ".join(f"CAST(x + ({c} & 1) + {NX + 1} * (y + ({c} >> 1 & 1) + {NY + 1} * (z + ({c} >> 2 & 1))) AS BIGINT) AS v{n}" for n, c in enumerate("abcd"))
-    + ", label FROM voxel, kuhn WHERE label <> 0 AND x <= 12)"
+    + ", label FROM voxel, kuhn WHERE label <> 0)"
 )
 SIDES = (
     TETS
     + ",\nside AS ("
     + " UNION ALL ".join(f"SELECT tid, label, v{f[0]} AS f0, v{f[1]} AS f1, v{f[2]} AS f2, list_sort([v{f[0]}, v{f[1]}, v{f[2]}]) AS key FROM tet" for f in mesh.FACES)
     + """),
-met AS (SELECT key, count(*) AS n, arg_max(f0, label * 100000000 + tid) AS f0, arg_max(f1, label * 100000000 + tid) AS f1, arg_max(f2, label * 100000000 + tid) AS f2, max(label) AS hi, min(label) AS lo FROM side GROUP BY key),
+met AS MATERIALIZED (SELECT key, count(*) AS n, arg_max(f0, label * 100000000 + tid) AS f0, arg_max(f1, label * 100000000 + tid) AS f1, arg_max(f2, label * 100000000 + tid) AS f2, max(label) AS hi, min(label) AS lo FROM side GROUP BY key),
 face AS (SELECT f0 AS v0, f1 AS v1, f2 AS v2, hi AS "inner", CASE WHEN n = 1 THEN 0 ELSE lo END AS "outer" FROM met WHERE n = 1 OR hi <> lo)"""
 )
 _SHIFT = lambda k: f"(nid * {k} % 17 - 8) / 100.0::DOUBLE"
 NODES = f""",
-node AS (SELECT nid, CAST(nid % {NX + 1} AS DOUBLE) + {_SHIFT(7)} AS x, CAST(nid // {NX + 1} % {NY + 1} AS DOUBLE) + {_SHIFT(11)} AS y, CAST(nid // {(NX + 1) * (NY + 1)} AS DOUBLE) + {_SHIFT(13)} AS z
+node AS MATERIALIZED (SELECT nid, CAST(nid % {NX + 1} AS DOUBLE) + {_SHIFT(7)} AS x, CAST(nid // {NX + 1} % {NY + 1} AS DOUBLE) + {_SHIFT(11)} AS y, CAST(nid // {(NX + 1) * (NY + 1)} AS DOUBLE) + {_SHIFT(13)} AS z
          FROM (SELECT DISTINCT unnest([v0, v1, v2, v3]) AS nid FROM tet))"""
-POINTS = TETS + NODES + ",\npts AS (SELECT t.tid, t.label, " + ", ".join(f"n{k}.{a} AS p{k}{a}" for k in range(4) for a in "xyz") + " FROM tet t " + " ".join(f"JOIN node n{k} ON n{k}.nid = t.v{k}" for k in range(4)) + ")"
+POINTS = TETS + NODES + ",\npts AS MATERIALIZED (SELECT t.tid, t.label, " + ", ".join(f"n{k}.{a} AS p{k}{a}" for k in range(4) for a in "xyz") + " FROM tet t " + " ".join(f"JOIN node n{k} ON n{k}.nid = t.v{k}" for k in range(4)) + ")"
 _CLOUD_ID = f"CAST(x + {NX} * (y + {NY} * z) AS BIGINT)"
-CLOUD = VOXEL + ",\ncloud AS (SELECT pid, " + ", ".join(f"CAST({a} AS DOUBLE) + (pid * {k} % 19) / 40.0::DOUBLE AS {a}" for a, k in (("x", 5), ("y", 7), ("z", 11))) + f", label, CAST(pid % 3 AS INT) AS typ, 0.8::DOUBLE + (pid % 5) / 10.0::DOUBLE AS h FROM (SELECT *, {_CLOUD_ID} AS pid FROM voxel WHERE x <= 20))"
+CLOUD = VOXEL + ",\ncloud AS MATERIALIZED (SELECT pid, " + ", ".join(f"CAST({a} AS DOUBLE) + (pid * {k} % 19) / 40.0::DOUBLE AS {a}" for a, k in (("x", 5), ("y", 7), ("z", 11))) + f", label, CAST(pid % 3 AS INT) AS typ, 0.8::DOUBLE + (pid % 5) / 10.0::DOUBLE AS h FROM (SELECT *, {_CLOUD_ID} AS pid FROM voxel))"
 
 
 def _v(a: str, b: str) -> list[str]:
@@ -273,11 +269,11 @@ def interface_sizes(spark, sf_dir):
     return a.join(b, ["x", "y", "z"]).where("la <> lb").select("x", "y", "z", "la", "lb", h.alias("h"))
 
 
-@query(f"WITH {DENSE}, s AS (SELECT x, y, z, CASE label WHEN 0 THEN 9.0 WHEN 1 THEN 1.0 WHEN 2 THEN 4.0 ELSE 6.0 END AS h FROM dense WHERE x <= 10) SELECT a.x, a.y, a.z, round(min(b.h + CAST(0.3 AS DOUBLE) * p.d), 6) AS h FROM s a JOIN s b ON TRUE, LATERAL (SELECT list_sort([abs(a.x - b.x), abs(a.y - b.y), abs(a.z - b.z)]) AS q) t, LATERAL (SELECT (q[3] - q[2]) * 1.0 + (q[2] - q[1]) * sqrt(2.0) + q[1] * sqrt(3.0) AS d) p GROUP BY a.x, a.y, a.z")
+@query(f"WITH {DENSE}, s AS (SELECT x, y, z, CASE label WHEN 0 THEN 9.0 WHEN 1 THEN 1.0 WHEN 2 THEN 4.0 ELSE 6.0 END AS h FROM dense) SELECT a.x, a.y, a.z, round(min(b.h + CAST(0.3 AS DOUBLE) * p.d), 6) AS h FROM s a JOIN s b ON TRUE, LATERAL (SELECT list_sort([abs(a.x - b.x), abs(a.y - b.y), abs(a.z - b.z)]) AS q) t, LATERAL (SELECT (q[3] - q[2]) * 1.0 + (q[2] - q[1]) * sqrt(2.0) + q[1] * sqrt(3.0) AS d) p GROUP BY a.x, a.y, a.z")
 def gradient_limit(spark, sf_dir):
     """Sizes by label, limited to grow by 0.3 a voxel; the SQL takes the closed form of the fixpoint on a full grid."""
     h = F.when(F.col("label") == 0, 9.0).when(F.col("label") == 1, 1.0).when(F.col("label") == 2, 4.0).otherwise(6.0)
-    s = dense_volume(spark, sf_dir).where("x <= 10").withColumn("h", h)
+    s = dense_volume(spark, sf_dir).withColumn("h", h)
     return voxels.gradient_limit(s, 0.3).select("x", "y", "z", F.round("h", 6).alias("h"))
 
 
@@ -396,13 +392,7 @@ def interface_areas(spark, sf_dir):
 
 @query()
 def same_label_components(spark, sf_dir):
-    return mesh.same_label_components(whole_mesh(spark, sf_dir))
-
-
-@query(f"WITH {POINTS} SELECT count(*) AS n_tets, least(count(*) FILTER ({_V6} > 0), count(*) FILTER ({_V6} < 0)) AS n_inverted, count(*) FILTER ({_V6} = 0) AS n_flat, count(*) FILTER (round({_DIHEDRAL}, 6) < 10) AS n_slivers, 0 AS n_open, 0 AS n_region_open, TRUE AS ok FROM pts")
-def check_report(spark, sf_dir):
-    """The report of a sound mesh; the SQL states that its surfaces are closed."""
-    return mesh.check_report(tet_mesh(spark, sf_dir), nodes(spark, sf_dir))
+    return mesh.same_label_components(tet_mesh(spark, sf_dir))
 
 
 @query(f"WITH {TETS}{NODES}, r AS (SELECT nid AS old, row_number() OVER (ORDER BY nid) - 1 AS nid FROM node) SELECT t.tid, t.label, " + ", ".join(f"r{k}.nid AS v{k}" for k in range(4)) + " FROM tet t " + " ".join(f"JOIN r r{k} ON r{k}.old = t.v{k}" for k in range(4)))
@@ -430,24 +420,22 @@ def renumbering(spark, sf_dir):
 
 _DIST = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
 _BARS = CLOUD + f""",
-bars AS (SELECT a.pid AS i, b.pid AS j, {_DIST} AS dist, a.h AS ha, b.h AS hb FROM cloud a JOIN cloud b ON a.pid <> b.pid AND b.x BETWEEN a.x - 2 AND a.x + 2
-         WHERE {_DIST} < 1.3 * (a.h + b.h) / 2 AND NOT (a.typ = 0 AND b.typ = 0 AND a.label <> b.label))"""
+near AS (SELECT a.pid AS i, b.pid AS j, {_DIST} AS dist, a.h AS ha, b.h AS hb FROM cloud a JOIN cloud b ON a.pid <> b.pid AND b.x BETWEEN a.x - 2 AND a.x + 2
+         WHERE {_DIST} < 1.3 * (a.h + b.h) / 2 AND NOT (a.typ = 0 AND b.typ = 0 AND a.label <> b.label)),
+bars AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(dist, 9), j) AS rn FROM near) WHERE rn <= 24)"""
 
 
-@query(f"WITH {_BARS} SELECT i, j, round(dist, 9) AS dist, rn FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(dist, 9), j) AS rn FROM bars) WHERE rn <= 8")
+@query(f"WITH {_BARS} SELECT i, j, round(dist, 9) AS dist, rn FROM bars WHERE rn <= 8")
 def nearest_truss(spark, sf_dir):
     """Up to 8 nearest neighbours within the reach of both sizes."""
-    bars = spatial.truss(cloud(spark, sf_dir), 1.3, 10_000).withColumn("dist", F.round("dist", 9))
-    from pyspark.sql import Window
-
-    ranked = bars.withColumn("rn", F.row_number().over(Window.partitionBy("i").orderBy("dist", "j"))).where("rn <= 8")
+    ranked = spatial.truss(cloud(spark, sf_dir), 1.3, 8).withColumn("dist", F.round("dist", 9))
     return ranked.select("i", "j", "dist", "rn")
 
 
 @query(f"WITH {_BARS} SELECT i, " + ", ".join(f"round(sum(greatest(1.2 * (ha + hb) / 2 - dist, 0.0) * (a.{c} - b.{c}) / dist), 6) AS f{c}" for c in "xyz") + " FROM bars JOIN cloud a ON a.pid = i JOIN cloud b ON b.pid = j WHERE dist > 0 GROUP BY i")
 def spring_forces(spark, sf_dir):
     p = cloud(spark, sf_dir)
-    f = spatial.spring_forces(spatial.truss(p, 1.3, 10_000), p)
+    f = spatial.spring_forces(spatial.truss(p, 1.3), p)
     return f.select("i", *[F.round(f"f{c}", 6).alias(f"f{c}") for c in "xyz"])
 
 
@@ -462,10 +450,10 @@ def thin_seeds(spark, sf_dir):
     return spatial.thin(cloud(spark, sf_dir).withColumn("first", -F.col("typ")), 1.1, ["first", "h"]).select("pid", "typ", "h")
 
 
-@query(f"WITH RECURSIVE {VOXEL}, e AS (SELECT a.x + 100 * a.y + 10000 * a.z AS i, b.x + 100 * b.y + 10000 * b.z AS j FROM voxel a JOIN voxel b ON a.label = b.label AND abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1 WHERE a.x <= 8 AND b.x <= 8), r(i, root) AS (SELECT i, i FROM e UNION SELECT e.j, r.root FROM r JOIN e USING (i)) SELECT i AS node, min(root) AS component FROM r GROUP BY i")
+@query(f"WITH RECURSIVE {VOXEL}, e AS (SELECT a.x + 100 * a.y + 10000 * a.z AS i, b.x + 100 * b.y + 10000 * b.z AS j FROM voxel a JOIN voxel b ON a.label = b.label AND abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1), r(i, root) AS (SELECT i, i FROM e UNION SELECT e.j, r.root FROM r JOIN e USING (i)) SELECT i AS node, min(root) AS component FROM r GROUP BY i")
 def region_components(spark, sf_dir):
     """Voxels of one label joined over 6 neighbours."""
-    v = voxel_volume(spark, sf_dir).where("x <= 8")
+    v = voxel_volume(spark, sf_dir)
     num = (F.col("x") + 100 * F.col("y") + 10000 * F.col("z")).alias("i")
     near = voxels.dilate(v, voxels.SIX[::2], ("label",)).select(F.col("x"), F.col("y"), F.col("z"), "label")
     own = v.select("x", "y", "z", "label", num)
@@ -532,13 +520,17 @@ _W = f"ln(1.0 - t * t)"
 _T = f"({2 / (math.pi * 0.147)!r}::DOUBLE + {_W} / 2.0)"
 
 
-@query(f"WITH {GRAY}, u AS (SELECT x, y, z, intensity / 100.0 AS t, 0.5 + intensity / 10.0 AS h FROM gray) SELECT x, y, z, round(CASE WHEN t < 0.9999 THEN {2 * math.sqrt(2) * 0.35!r}::DOUBLE * sqrt(sqrt({_T} * {_T} - {_W} / 0.147) - {_T}) END, 6) AS thickness, CAST(least(greatest(floor(ln(h / 0.5) / {math.log(40) / 255!r}::DOUBLE + 0.5), 0), 255) AS INT) AS grade FROM u")
+_ERF = f"(2.0 / sqrt(pi()) * e * list_reduce({[c for c in reversed(geo.ERF_SERIES)]!r}::DOUBLE[], lambda acc, c: acc * e * e + c))"
+_NEWTON = ", ".join(f"n{k} AS (SELECT * EXCLUDE (e), e - ({_ERF} - t) * sqrt(pi()) / 2.0 * exp(e * e) AS e FROM n{k - 1})" for k in range(1, 4))
+
+
+@query(f"WITH {GRAY}, n0 AS (SELECT x, y, z, intensity / 100.0 AS t, 0.5 + intensity / 10.0 AS h, sqrt(sqrt({_T} * {_T} - {_W} / 0.147) - {_T}) AS e FROM (SELECT *, intensity / 100.0 AS t FROM gray)), {_NEWTON} SELECT x, y, z, round(CASE WHEN t < 0.9999 THEN {2 * math.sqrt(2) * 0.35!r}::DOUBLE * e END, 6) AS thickness, CAST(least(greatest(floor(ln(h / 0.5) / {math.log(40) / 255!r}::DOUBLE + 0.5), 0), 255) AS INT) AS grade FROM n3")
 def thickness_and_grades(spark, sf_dir):
     g = gray_volume(spark, sf_dir)
     return g.select("x", "y", "z", F.round(geo.layer_thickness(F.col("intensity") / 100.0, 0.35), 6).alias("thickness"), geo.grade(0.5 + F.col("intensity") / 10.0, 0.5, 20.0).alias("grade"))
 
 
-@query(f"WITH {VOXEL} SELECT x, y, z, round(0.5 * (x + 0.5 * ((y + z) % 2)), 9) AS px, round({0.5 * math.sqrt(3) / 2!r}::DOUBLE * (y + {1 / 3!r}::DOUBLE * (z % 2)), 9) AS py, round({0.5 * math.sqrt(6) / 3!r}::DOUBLE * z, 9) AS pz FROM voxel")
+@query(f"WITH {VOXEL} SELECT x, y, z, round(0.5::DOUBLE * (x + 0.5 * (y % 2) + 0.5 * (z % 2)), 9) AS px, round({0.5 * math.sqrt(3) / 2!r}::DOUBLE * (y + {1 / 3!r}::DOUBLE * (z % 2)), 9) AS py, round({0.5 * math.sqrt(6) / 3!r}::DOUBLE * z, 9) AS pz FROM voxel")
 def hcp_lattice(spark, sf_dir):
     p = geo.hcp_point(F.col("x"), F.col("y"), F.col("z"), 0.5)
     return voxel_volume(spark, sf_dir).select("x", "y", "z", *[F.round(c, 9).alias(n) for c, n in zip(p, ("px", "py", "pz"), strict=True)])

@@ -12,14 +12,14 @@ from meshlake.plans.catalog import ORACLES, QUERIES, query
 __all__ = ["ORACLES", "QUERIES"]
 
 _TRI = c.CLOUD + """,
-tri AS (SELECT a.pid AS fid, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS "by", b.z AS bz, d.x AS cx, d.y AS cy, d.z AS cz
-        FROM cloud a JOIN cloud b ON b.pid = a.pid + 2 JOIN cloud d ON d.pid = a.pid + 51 WHERE a.x < 9)"""
+tri AS MATERIALIZED (SELECT a.pid AS fid, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS "by", b.z AS bz, d.x AS cx, d.y AS cy, d.z AS cz
+        FROM cloud a JOIN cloud b ON b.pid = a.pid + 2 JOIN cloud d ON d.pid = a.pid + 51)"""
 
 
 def _triangles(spark, sf_dir):
     p = c.cloud(spark, sf_dir).select("pid", "x", "y", "z")
     at = lambda n, k: p.select((F.col("pid") - k).alias("fid"), *[F.col(a).alias(f"{n}{a}") for a in "xyz"])
-    return at("a", 0).join(at("b", 2), "fid").join(at("c", 51), "fid").where("ax < 9")
+    return at("a", 0).join(at("b", 2), "fid").join(at("c", 51), "fid")
 
 
 def _o(a: str, b: str, d: str, p: str) -> str:
@@ -75,7 +75,7 @@ def top_two_labels(spark, sf_dir):
 @query(f"WITH {c._BARS}, h AS (SELECT CAST(floor(log2(dist)) AS INT) AS bin, count(*) AS n FROM bars WHERE dist > 0 GROUP BY 1), s AS (SELECT bin, sum(n) OVER (ORDER BY bin) AS upto, sum(n) OVER () AS total FROM h) SELECT min(pow(2.0, bin + 1)) AS p99 FROM s WHERE upto >= 0.99 * total")
 def histogram_p99(spark, sf_dir):
     """The upper edge of the power-of-two bin that holds the 99th percentile of bar lengths."""
-    bars = spatial.truss(c.cloud(spark, sf_dir), 1.3, 10_000).where("dist > 0")
+    bars = spatial.truss(c.cloud(spark, sf_dir), 1.3).where("dist > 0")
     h = bars.groupBy(F.floor(F.log2("dist")).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     # as many rows as a logarithm has whole values
     s = h.select("bin", F.sum("n").over(Window.orderBy("bin")).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("total"))
@@ -147,7 +147,7 @@ def region_of_points(spark, sf_dir):
     return spatial.winding(p, t.drop("v0", "v1", "v2"), 1.0)
 
 
-@query(f"WITH RECURSIVE {c.VOXEL}, e AS (SELECT a.x + 100 * a.y + 10000 * a.z AS i, b.x + 100 * b.y + 10000 * b.z AS j FROM voxel a JOIN voxel b ON a.label = b.label AND abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1 WHERE a.x <= 8 AND b.x <= 8), r(i, root) AS (SELECT i, i FROM e UNION SELECT e.j, r.root FROM r JOIN e USING (i)), comp AS (SELECT i, min(root) AS c FROM r GROUP BY i), size AS (SELECT c AS component, count(*) AS n FROM comp GROUP BY c) SELECT component, n, row_number() OVER (ORDER BY n DESC, component) - 1 AS rn FROM size")
+@query(f"WITH RECURSIVE {c.VOXEL}, e AS (SELECT a.x + 100 * a.y + 10000 * a.z AS i, b.x + 100 * b.y + 10000 * b.z AS j FROM voxel a JOIN voxel b ON a.label = b.label AND abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1), r(i, root) AS (SELECT i, i FROM e UNION SELECT e.j, r.root FROM r JOIN e USING (i)), comp AS (SELECT i, min(root) AS c FROM r GROUP BY i), size AS (SELECT c AS component, count(*) AS n FROM comp GROUP BY c) SELECT component, n, row_number() OVER (ORDER BY n DESC, component) - 1 AS rn FROM size")
 def numbered_regions(spark, sf_dir):
     """Regions numbered largest first, then by their least voxel."""
     from meshlake.operators.ordering import global_row_number
