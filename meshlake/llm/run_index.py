@@ -204,9 +204,14 @@ def _hashes(data: bytes, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def _once(anchors: np.ndarray, contents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the first place of each distinct context in a document, whether each place is of one held more than once)."""
-    pairs = np.stack([anchors, contents], axis=1)
-    _, first, at, count = np.unique(pairs, axis=0, return_index=True, return_inverse=True, return_counts=True)
-    return np.sort(first), count[at.ravel()] > 1
+    mixed = (anchors.view(np.uint64) * np.uint64(_ODD)) ^ contents.view(np.uint64)
+    by = np.argsort(mixed, kind="stable")
+    same = mixed[by[1:]] == mixed[by[:-1]]
+    again = np.zeros(len(mixed), bool)
+    if not same.any():
+        return np.arange(len(mixed)), again
+    again[by[1:][same]] = again[by[:-1][same]] = True
+    return np.sort(by[np.concatenate([[True], ~same])]), again
 
 
 def _anchored(docs: DataFrame, least: int, kmer: int) -> DataFrame:
