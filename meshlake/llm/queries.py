@@ -117,8 +117,8 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = F.replace(F.coalesce("text", F.lit("")), F.lit("▁"), F.lit(" "))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(plain, 256).alias("sha"))
     encoded = lattice.encode_documents(docs, ["doc_id", "sha"], n_best=N_BEST)
-    named = encoded.withColumns({"n_lattice": F.size("lattice_ids").cast("long"), "ids_sha256": F.sha2(F.array_join("ids", ","), 256), "lattice_sha256": F.sha2(F.array_join("lattice_ids", ","), 256)})
-    keep = ["doc_id", "n_pieces", "n_lattice", "scores", "ids_sha256", "lattice_sha256"]
+    named = encoded.withColumns({"n_lattice": F.size("lattice_ids").cast("long"), "ids_hash": F.xxhash64("ids"), "lattice_hash": F.xxhash64("lattice_ids")})
+    keep = ["doc_id", "n_pieces", "n_lattice", "scores", "ids_hash", "lattice_hash"]
     decoded = lattice.decode_documents(named, [*keep, "sha"])
     return decoded.select(*keep, F.element_at("scores", 1).alias("score"), (F.sha2("text", 256) == F.col("sha")).alias("round_trip"))
 

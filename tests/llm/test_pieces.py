@@ -54,7 +54,7 @@ def all_paths(own, unit):
     if not unit:
         return [(0, ())]
     out = []
-    for start, score, ids in own.into(unit, len(unit)):
+    for start, (score, ids) in own.into(unit, len(unit)):
         out += [(s + score, p + ids) for s, p in all_paths(own, unit[:start])]
     return out
 
@@ -120,17 +120,18 @@ def test_encode_documents(spark):
 
 def test_query(spark, docs, rows, tmp_path, processor):
     """Every column of the query by the library, and by the lattice of whole texts."""
-    import hashlib
+    from pyspark.sql import functions as F
 
     from meshlake.llm import queries
 
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r for r in queries.op4_sentencepiece(spark, str(tmp_path)).collect()}
     own = lattice.Segmenter(pieces.vocabulary(MODEL), queries.N_BEST)
-    digest = lambda ids: hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
-    for doc_id, text, *_ in rows:
-        r, theirs = got[doc_id], processor.encode(text or "")
-        assert (r.n_pieces, r.ids_sha256, r.round_trip) == (len(theirs), digest(theirs), True)
-        best = own.n_encodings(text)
+    whole = [(processor.encode(text or ""), own.n_encodings(text)) for _, text, *_ in rows]
+    hashed = spark.createDataFrame([(k, theirs, best[0][1]) for k, (theirs, best) in enumerate(whole)], "k int, a array<int>, b array<int>")
+    hashes = {r.k: (r.a, r.b) for r in hashed.select("k", F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")).collect()}
+    for k, ((doc_id, *_), (theirs, best)) in enumerate(zip(rows, whole, strict=True)):
+        r = got[doc_id]
+        assert (r.n_pieces, r.ids_hash, r.round_trip) == (len(theirs), hashes[k][0], True)
         assert r.scores == [s / pieces.MILLION for s, _ in best] and r.score == r.scores[0]
-        assert (r.n_lattice, r.lattice_sha256) == (len(best[0][1]), digest(best[0][1]))
+        assert (r.n_lattice, r.lattice_hash) == (len(best[0][1]), hashes[k][1])
