@@ -21,6 +21,29 @@ def bad_faces(faces: DataFrame, sets: DataFrame) -> DataFrame:
     return tall.groupBy("v0", "v1", "v2", "inner", "outer").agg(F.count(F.when(~on, 1)).alias("n_off")).where("n_off > 0")
 
 
+def exterior_edges(edges: DataFrame, nodes: DataFrame, dense: DataFrame, size: tuple[float, float, float] = (1.0, 1.0, 1.0), step: float = 0.25) -> DataFrame:
+    """(a, b): edges that pass through label 0 between their ends.
+
+    An edge is looked at in equal parts no longer than step of the least voxel side, two
+    at least, its ends left out. A place has the label of the voxel whose centre is
+    nearest; a voxel that dense has not is exterior. Each voxel is asked for once an edge.
+    """
+    ends = edges.select("a", "b")
+    for v in "ab":
+        ends = ends.join(nodes.select(F.col("nid").alias(v), *[F.col(c).alias(f"{v}{c}") for c in "xyz"]), v)
+    along = [F.col(f"b{c}") - F.col(f"a{c}") for c in "xyz"]
+    length = F.sqrt(along[0] * along[0] + along[1] * along[1] + along[2] * along[2])
+    parts = F.greatest(F.lit(2), F.ceil(length / F.lit(step * min(size))).cast("int"))
+    ends = ends.withColumn("parts", parts)
+
+    def voxel(k):
+        at = k.cast("double") / F.col("parts")
+        return F.struct(*[F.floor((F.col(f"a{c}") + at * d) / F.lit(float(s)) + 0.5).cast("int").alias(c) for c, d, s in zip("xyz", along, size, strict=True)])
+
+    met = ends.select("a", "b", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("parts") - 1), voxel))).alias("v")).select("a", "b", "v.*")
+    return met.join(dense.where("label <> 0").select("x", "y", "z"), ["x", "y", "z"], "left_anti").select("a", "b").distinct()
+
+
 def side_uses(tets: DataFrame) -> DataFrame:
     """(uses, n): how many sides lie on one tetrahedron, two, or more (which no sound mesh has)."""
     return tet_sides(tets).groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("uses")).groupBy("uses").agg(F.count(F.lit(1)).alias("n"))

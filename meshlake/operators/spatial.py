@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshlake.operators.graph import connected_components
+from meshlake.operators.ordering import global_row_number
 
 AXES = ("x", "y", "z")
 
@@ -114,3 +115,42 @@ def winding(points: DataFrame, triangles: DataFrame, cell: float) -> DataFrame:
     ahead = F.when(nx > 0, plane < 0).when(nx < 0, plane > 0).otherwise(F.lit(False))
     hits = j.where(ahead & (crosses != 0)).groupBy("pid").agg(F.sum(crosses).cast("int").alias("w"))
     return points.select("pid").join(hits, "pid", "left").select("pid", F.coalesce("w", F.lit(0)).alias("w"))
+
+
+def feature_balls(pins: DataFrame) -> DataFrame:
+    """(curve, i, j, x, y, z, r2): centre and squared radius of the diametral ball of each two pins that follow on a curve.
+
+    pins are pid, curve, t, x, y, z; t is the place along the curve, of equal places the least
+    pid goes first. Pins are numbered over all curves, so no curve is one task's work.
+    """
+    own = global_row_number(pins.select("curve", "t", "pid", *AXES), [F.col("curve"), F.col("t"), F.col("pid")])
+    after = own.select((F.col("rn") - 1).alias("rn"), F.col("curve").alias("on"), F.col("pid").alias("j"), *[F.col(a).alias(f"{a}_j") for a in AXES])
+    met = own.join(after, "rn").where(F.col("curve") == F.col("on"))
+    d = [F.col(a) - F.col(f"{a}_j") for a in AXES]
+    centre = [(0.5 * (F.col(a) + F.col(f"{a}_j"))).alias(a) for a in AXES]
+    return met.select("curve", F.col("pid").alias("i"), "j", *centre, (0.25 * (d[0] * d[0] + d[1] * d[1] + d[2] * d[2])).alias("r2")).where("r2 > 0")
+
+
+def protect(points: DataFrame, balls: DataFrame, pinned: Column, most: float = 1.6) -> DataFrame:
+    """points without those inside a ball (x, y, z, r2, h), pinned ones apart.
+
+    A ball wider than most times the size h at its centre is no crease and removes nothing.
+    Balls are dealt by size: one of a level lies in at most eight cells, whose edge is the
+    power of two above its diameter, and a point is looked up once for each level in use.
+    """
+    wide = F.col("r2") <= F.lit(most * most / 4) * F.col("h") * F.col("h")
+    sized = balls.where(wide).withColumn("level", F.ceil(F.log2(2.0 * F.sqrt("r2")) + 1e-9).cast("int"))
+    # one for each power of two among the diameters
+    levels = [r.level for r in sized.select("level").distinct().collect()]
+    if not levels:
+        return points
+    edge = F.pow(F.lit(2.0), F.col("level"))
+    dealt = sized.select("level", "r2", *[F.col(a).alias(f"b{a}") for a in AXES])
+    for a in AXES:
+        low, high = [F.floor((F.col(f"b{a}") + s * F.sqrt("r2")) / edge) for s in (-1, 1)]
+        dealt = dealt.withColumn(f"c{a}", F.explode(F.sequence(low, high)))
+    free = points.where(~pinned).select("pid", *AXES, F.explode(F.array(*[F.lit(v) for v in levels])).alias("level"))
+    free = free.select("pid", *AXES, "level", *[F.floor(F.col(a) / edge).alias(f"c{a}") for a in AXES])
+    d = [F.col(a) - F.col(f"b{a}") for a in AXES]
+    inside = free.join(dealt, ["level", "cx", "cy", "cz"]).where(d[0] * d[0] + d[1] * d[1] + d[2] * d[2] < F.col("r2"))
+    return points.join(inside.select("pid").distinct(), "pid", "left_anti")

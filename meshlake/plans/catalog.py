@@ -269,7 +269,13 @@ def interface_sizes(spark, sf_dir):
     return a.join(b, ["x", "y", "z"]).where("la <> lb").select("x", "y", "z", "la", "lb", h.alias("h"))
 
 
-@query(f"WITH {DENSE}, s AS (SELECT x, y, z, CASE label WHEN 0 THEN 9.0 WHEN 1 THEN 1.0 WHEN 2 THEN 4.0 ELSE 6.0 END AS h FROM dense) SELECT a.x, a.y, a.z, round(min(b.h + CAST(0.3 AS DOUBLE) * p.d), 6) AS h FROM s a JOIN s b ON TRUE, LATERAL (SELECT list_sort([abs(a.x - b.x), abs(a.y - b.y), abs(a.z - b.z)]) AS q) t, LATERAL (SELECT (q[3] - q[2]) * 1.0 + (q[2] - q[1]) * sqrt(2.0) + q[1] * sqrt(3.0) AS d) p GROUP BY a.x, a.y, a.z")
+@query(
+    f"""WITH {DENSE}, s AS MATERIALIZED (SELECT x, y, z, CAST(CASE label WHEN 0 THEN 9 WHEN 1 THEN 1 WHEN 2 THEN 4 ELSE 6 END AS DOUBLE) AS h FROM dense),
+far AS (SELECT a.x, a.y, a.z, b.h, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy, abs(a.z - b.z) AS dz FROM s a JOIN s b ON b.h < a.h WHERE abs(a.x - b.x) * 0.3 < a.h - b.h),
+sorted AS (SELECT x, y, z, h, greatest(dx, dy, dz) AS q3, least(dx, dy, dz) AS q1, dx + dy + dz - greatest(dx, dy, dz) - least(dx, dy, dz) AS q2 FROM far),
+low AS (SELECT x, y, z, min(h + CAST(0.3 AS DOUBLE) * ((q3 - q2) * 1.0 + (q2 - q1) * sqrt(2.0) + q1 * sqrt(3.0))) AS m FROM sorted GROUP BY x, y, z)
+SELECT s.x, s.y, s.z, round(least(s.h, coalesce(low.m, s.h)), 6) AS h FROM s LEFT JOIN low USING (x, y, z)"""
+)
 def gradient_limit(spark, sf_dir):
     """Sizes by label, limited to grow by 0.3 a voxel; the SQL takes the closed form of the fixpoint on a full grid."""
     h = F.when(F.col("label") == 0, 9.0).when(F.col("label") == 1, 1.0).when(F.col("label") == 2, 4.0).otherwise(6.0)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from meshlake.functions import geometry as geo
 from meshlake.functions import sdf
-from meshlake.operators import cells, conformity, mesh, sizing, surfaces, voxels
+from meshlake.operators import cells, conformity, mesh, sizing, spatial, surfaces, voxels
 from meshlake.plans import catalog as c
 from meshlake.plans import surfaces as s
 from meshlake.plans.catalog import ORACLES, QUERIES, query
@@ -289,3 +289,32 @@ SELECT *, n_inverted = 0 AND n_open = 0 AND n_region_open = 0 AND n_crossings =
 def check_report(spark, sf_dir):
     """The report on the whole mesh: its quality, the edges of its surfaces and their crossings."""
     return mesh.check_report(c.tet_mesh(spark, sf_dir), c.nodes(spark, sf_dir))
+
+
+_AT = ", ".join(f"CAST(floor(u{k} + CAST(s AS DOUBLE) / parts * (w{k} - u{k}) + 0.5) AS INT) AS {k}" for k in "xyz")
+
+
+@query(
+    f"""WITH {c.TETS}{c.NODES}, edge AS (SELECT DISTINCT least(p, q) AS a, greatest(p, q) AS b FROM (SELECT unnest([v0, v0, v0, v1, v1, v2]) AS p, unnest([v1, v2, v3, v2, v3, v3]) AS q FROM tet)),
+ends AS (SELECT a, b, m.x - 0.5 AS ux, m.y - 0.5 AS uy, m.z - 0.5 AS uz, n.x - 0.5 AS wx, n.y - 0.5 AS wy, n.z - 0.5 AS wz FROM edge JOIN node m ON m.nid = a JOIN node n ON n.nid = b),
+cut AS (SELECT *, greatest(2, CAST(ceil(sqrt((wx - ux) * (wx - ux) + (wy - uy) * (wy - uy) + (wz - uz) * (wz - uz)) / 0.25) AS INT)) AS parts FROM ends),
+place AS (SELECT a, b, {_AT} FROM (SELECT *, unnest(range(1, parts)) AS s FROM cut))
+SELECT DISTINCT a, b FROM place ANTI JOIN (SELECT x, y, z FROM voxel WHERE label <> 0) USING (x, y, z)"""
+)
+def exterior_edges(spark, sf_dir):
+    """Edges of the mesh that leave the labelled voxels between their ends; a voxel's centre is half a side from its corners."""
+    centred = c.nodes(spark, sf_dir).select("nid", *[(F.col(a) - 0.5).alias(a) for a in "xyz"])
+    return conformity.exterior_edges(mesh.unique_edges(c.tet_mesh(spark, sf_dir)), centred, c.voxel_volume(spark, sf_dir))
+
+
+@query(
+    f"""WITH {c.CLOUD}, pin AS (SELECT pid // {c.NX} AS curve, pid, x, y, z, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(z) OVER w AS nz FROM cloud WHERE typ = 2 WINDOW w AS (PARTITION BY pid // {c.NX} ORDER BY pid)),
+ball AS MATERIALIZED (SELECT 0.5 * (x + nx) AS x, 0.5 * (y + ny) AS y, 0.5 * (z + nz) AS z, 0.25 * ((x - nx) * (x - nx) + (y - ny) * (y - ny) + (z - nz) * (z - nz)) AS r2 FROM pin WHERE nx IS NOT NULL)
+SELECT pid, typ FROM cloud p WHERE typ = 2 OR NOT EXISTS (SELECT 1 FROM ball b WHERE r2 > 0 AND r2 <= 0.64 * (1.8 + 0.01 * b.x) * (1.8 + 0.01 * b.x) AND (p.x - b.x) * (p.x - b.x) + (p.y - b.y) * (p.y - b.y) + (p.z - b.z) * (p.z - b.z) < r2)"""
+)
+def protected_features(spark, sf_dir):
+    """Points outside the balls between pins that follow along x in a row of voxels; points of type 2 are the pins."""
+    p = c.cloud(spark, sf_dir)
+    pins = p.where("typ = 2").select("pid", F.floor(F.col("pid") / c.NX).alias("curve"), F.col("pid").alias("t"), "x", "y", "z")
+    balls = spatial.feature_balls(pins).withColumn("h", 1.8 + 0.01 * F.col("x"))
+    return spatial.protect(p, balls, F.col("typ") == 2).select("pid", "typ")

@@ -98,3 +98,30 @@ def test_cells_of_overlaps_keep_single_labels(spark):
     df = spark.createDataFrame([(1.0, -1.0), (-1.0, 1.0), (1.0, 1.0), (-1.0, -1.0)], "a double, b double")
     got = {(r.a, r.b): r.tag for r in sdf.overlap_cells(df, [(3, F.col("a")), (5, F.col("b"))]).collect()}
     assert got == {(1.0, -1.0): 3, (-1.0, 1.0): 5, (1.0, 1.0): 6, (-1.0, -1.0): 0}
+
+
+def test_edges_that_leave_the_labels(spark):
+    dense = spark.createDataFrame([(0, 0, 0, 1), (1, 0, 0, 0), (2, 0, 0, 1), (0, 1, 0, 2)], "x int, y int, z int, label int")
+    nodes = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 2.0, 0.0, 0.0), (2, 0.4, 0.0, 0.0), (3, 0.0, 1.0, 0.0), (4, 0.0, 2.0, 0.0), (5, 0.6, 0.0, 0.0)], "nid long, x double, y double, z double")
+    edges = spark.createDataFrame([(0, 1), (0, 2), (0, 3), (3, 4), (0, 5), (1, 1)], "a long, b long")
+    # 0-1 crosses the gap, 3-4 leaves the table; 0-5 has its last place at 0.4, still in the voxel of 0
+    assert sorted(map(tuple, conformity.exterior_edges(edges, nodes, dense).collect())) == [(0, 1), (3, 4)]
+    assert conformity.exterior_edges(edges.limit(0), nodes, dense).count() == 0
+
+
+def test_balls_of_features_against_all_pairs(spark):
+    rng = random.Random(5)
+    pins = [(k, k % 4, rng.random(), *(rng.choice([1, 1, 9]) * rng.random() for _ in "xyz")) for k in range(40)]
+    points = [(100 + k, 0, *(9 * rng.random() ** 2 for _ in "xyz")) for k in range(600)] + [(p[0], 2, *p[3:]) for p in pins]
+    balls = spatial.feature_balls(spark.createDataFrame(pins, "pid long, curve int, t double, x double, y double, z double")).withColumn("h", F.lit(4.0))
+    kept = spatial.protect(spark.createDataFrame(points, "pid long, typ int, x double, y double, z double"), balls, F.col("typ") == 2)
+    want = []
+    for curve in range(4):
+        on = sorted((p for p in pins if p[1] == curve), key=lambda p: (p[2], p[0]))
+        for a, b in zip(on, on[1:]):
+            r2 = sum((u - v) ** 2 for u, v in zip(a[3:], b[3:])) / 4
+            if 0 < r2 <= (0.8 * 4) ** 2:
+                want.append(([(u + v) / 2 for u, v in zip(a[3:], b[3:])], r2))
+    assert balls.count() == 36 and 0 < len(want) < 36
+    stay = {p[0] for p in points if p[1] == 2 or not any(sum((u - v) ** 2 for u, v in zip(p[2:], c)) < r2 for c, r2 in want)}
+    assert {r.pid for r in kept.collect()} == stay and 40 < len(stay) < 640
