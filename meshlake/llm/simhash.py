@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from meshlake.llm.filters import bitmap_filter, bits_for, maybe_in
 from meshlake.operators.graph import connected_components
-from meshlake.runtime import counted, discard, materialize, observed
+from meshlake.runtime import counted, discard, materialize, observed, shuffled
 
 SEED = 42
 SHINGLES_A_STEP = 1 << 16
@@ -306,7 +306,7 @@ def near_components(fps: DataFrame, distance: int = 4) -> DataFrame:
     # a row becomes some 66, so few rows are dealt over many tasks
     distinct = distinct.repartition(max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // EXPLODED), "fp")
     whole, variants = _keys(F.col("fp"), distance)
-    index = distinct.select("fp", F.explode(F.concat(whole, variants)).alias("k")).select("fp", "k.key", "k.bit")
+    index = shuffled(distinct.select("fp", F.explode(F.concat(whole, variants)).alias("k")).select("fp", "k.key", "k.bit"))
 
     # first pass: each bucket against its smallest fingerprint
     heads = index.groupBy("key").agg(F.min("fp").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -318,11 +318,11 @@ def near_components(fps: DataFrame, distance: int = 4) -> DataFrame:
 
     # second pass: what differs in component within a bucket. Large buckets that lie within one
     # component are left out first; large is well above what chance puts into a bucket
-    index = part.select("fp", "part", F.explode(F.concat(whole, variants)).alias("k")).select("fp", "part", "k.key", "k.bit")
+    index = shuffled(part.select("fp", "part", F.explode(F.concat(whole, variants)).alias("k")).select("fp", "part", "k.key", "k.bit"))
     by_chance = n >> (64 // len(segments(distance)) - 1)
     large = materialize(heads.where(F.col("n") >= 16 + 8 * by_chance).select("key"), "large")
     within = index.join(large, "key").groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low = high").select("key")
-    index = index.join(materialize(within, "within"), "key", "left_anti")
+    index = shuffled(index.join(materialize(within, "within"), "key", "left_anti"))
     left = index.where("bit in (0, 2)").select("key", F.col("fp").alias("fa"), F.col("part").alias("a"), F.col("bit").alias("side"))
     right = index.where("bit in (1, 2)").select("key", F.col("fp").alias("fb"), F.col("part").alias("b"))
     across = left.join(right, (left["key"] == right["key"]) & (F.col("a") != F.col("b")) & ((F.col("side") == 0) | (F.col("fa") < F.col("fb"))) & near(F.col("fa"), F.col("fb"), distance))

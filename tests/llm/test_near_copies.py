@@ -72,3 +72,22 @@ def test_large_group_of_near_copies(spark):
     want, _ = kept_by_brute_force(rows)
     kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert kept == want
+
+
+def plans(spark, run):
+    """The plans that Spark ran for run()."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = {store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())}
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = store.executionsList()
+    return [found.apply(i).physicalPlanDescription() for i in range(found.size()) if found.apply(i).executionId() not in before]
+
+
+def test_no_exploded_index_is_broadcast(spark):
+    """An index has 66 keys a fingerprint, of which the planner's estimate knows nothing."""
+    rng = random.Random(6)
+    fps = spark.createDataFrame([(rng.getrandbits(63),) for _ in range(300)], "fp long")
+    made = plans(spark, lambda: simhash.near_components(fps).collect())
+    exploded = [p for p in made if "Generate" in p]
+    assert exploded and not any("BroadcastExchange" in p for p in exploded), next(p[:3000] for p in exploded if "BroadcastExchange" in p)
