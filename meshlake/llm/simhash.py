@@ -15,6 +15,7 @@ its pairs, and no link between components is lost.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +26,16 @@ from pyspark.sql import functions as F
 
 from meshlake.llm.filters import bitmap_filter, bits_for, maybe_in
 from meshlake.operators.graph import connected_components
-from meshlake.runtime import counted, discard, materialize, observed, shuffled
+from meshlake.runtime import counted, discard, materialize, observed, shuffled, worker_cache
 
 SEED = 42
 SHINGLES_A_STEP = 1 << 16
 #: Near copies share at least this part of their shingles, as a whole-number ratio.
 SHARE = (4, 5)
-#: Rows and cells of the count of common shingles, which only sets the order of keys.
-SAMPLE, CELLS = 1 << 15, 1 << 18
+#: Cells of the count of common shingles, which only sets the order of keys.
+CELLS = 1 << 18
+#: Words whose hashes a worker keeps.
+MOST_WORDS = 1 << 18
 #: Times that sets are compared with heads before all pairs left are.
 ROUNDS = 3
 #: Fingerprints that a task gives their index keys.
@@ -90,15 +93,39 @@ def fingerprints(docs: DataFrame, words: int = 4, text: str = "text", doc_id: st
     return made.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
+class _Words(dict):
+    """Hashes of words, kept while they are fewer than MOST_WORDS."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, SEED)
+        return h
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
-    """The sorted hashes of a text's distinct shingles, split as for fingerprint; of a shorter text its one."""
-    import xxhash
+    """The sorted hashes of a text's distinct shingles, split as for fingerprint; of a shorter text its one.
 
+    A shingle's hash is made from those of its words, in their order.
+    """
     found = (text or "").encode("utf-8").lower().split()
     if not found:
         return np.empty(0, np.uint64)
-    parts = {b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))}
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in parts), np.uint64, len(parts)))
+    known = worker_cache().setdefault("shingle words", _Words())
+    own = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+    n, k = max(1, len(found) - words + 1), min(words, len(found))
+    h = np.full(n, k, np.uint64)
+    for i in range(k):
+        h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + own[i : i + n])
+    return np.unique(h)
 
 
 def _each_text(docs: DataFrame, keep: list[str], schema: str, make) -> DataFrame:
@@ -137,24 +164,26 @@ def _may_be_alike(na: Column, nb: Column, shared: Column) -> Column:
 
 
 def common_cells(docs: DataFrame, words: int) -> np.ndarray:
-    """Counts of shingles in CELLS cells by hash over some SAMPLE rows, zero where nothing stands out.
+    """Counts of the shingles of all rows in CELLS cells by hash, as thousandths of their binary logarithm; zero where nothing stands out.
 
     They only set the order in which a set's shingles become keys, so no result depends on them.
     """
-    part = max(1, docs.count() // SAMPLE)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(CELLS, np.int64)
         for batch in batches:
-            hashes = [shingle_hashes(x, words) for x in batch["text"]]
-            cells, n = np.unique(np.concatenate([np.empty(0, np.uint64), *hashes]) % np.uint64(CELLS), return_counts=True)
-            yield pd.DataFrame({"cell": cells.astype(np.int64), "n": n.astype(np.int64)})
+            for at in range(0, len(batch), ROWS):
+                hashes = [shingle_hashes(x, words) for x in batch["text"].iloc[at : at + ROWS]]
+                n += np.bincount((np.concatenate(hashes) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+        cells = np.flatnonzero(n)
+        yield pd.DataFrame({"cell": cells, "n": n[cells]})
 
-    sampled = docs.where(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(part)) == 0).select(F.col("text").cast("string").alias("text"))
-    counts, seen = observed(sampled.mapInPandas(each, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "cells", {"total": F.sum("n")})
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    counts, seen = observed(texts.mapInPandas(each, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "cells", {"total": F.sum("n")})
     total = seen["total"] or 0
     found = np.zeros(CELLS, np.uint16)
     for cell, n in counts.where(F.col("n") >= 4 + 2 * total // CELLS).collect():
-        found[cell] = min(n, 65535)
+        found[cell] = round(1000 * math.log2(n))
     discard(counts)
     return found
 
@@ -186,7 +215,7 @@ def keep_one(docs: DataFrame, words: int = 5, distance: int = 4) -> DataFrame:
     rows = materialize(_each_text(own, ["doc_id", "th"], "sid long, fp long, n int, keys array<long>", make), "docs")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("th")))
     sizes = materialize(rows.groupBy("sid").agg(first.alias("first"), F.first("fp").alias("fp")), "sizes")
-    index = rows.select("sid", "n", F.explode("keys").alias("key"))
+    index = shuffled(rows.select("sid", "n", F.explode("keys").alias("key")))
     members = sizes.join(copy_components(index, own, sizes, words, distance), "sid", "left")
     stays = members.groupBy(F.coalesce("component", "sid")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("id2"), F.col("first.th").alias("th2"))
     stays = materialize(stays, "stays")
@@ -223,7 +252,7 @@ def alike(pairs: DataFrame, own: DataFrame, sizes: DataFrame, words: int) -> Dat
 def head_pairs(sizes: DataFrame, distance: int) -> DataFrame:
     """(a, b) of sets whose fingerprints are near and meet in an index key: each with the least of its key."""
     whole, variants = _keys(F.col("fp"), distance)
-    index = sizes.select("sid", "fp", F.explode(F.concat(whole, variants)).alias("k")).select("sid", "fp", "k.key")
+    index = shuffled(sizes.select("sid", "fp", F.explode(F.concat(whole, variants)).alias("k")).select("sid", "fp", "k.key"))
     heads = index.groupBy("key").agg(F.min(F.struct("sid", "fp")).alias("h"), F.count(F.lit(1)).alias("c")).where("c > 1")
     met = index.join(heads.select("key", F.col("h.sid").alias("b"), F.col("h.fp").alias("fb")), "key")
     return met.where((F.col("sid") != F.col("b")) & near(F.col("fp"), F.col("fb"), distance)).select(F.col("sid").alias("a"), "b")

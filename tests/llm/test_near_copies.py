@@ -1,4 +1,7 @@
+import glob
+import math
 import random
+import time
 
 from meshlake.llm import simhash
 
@@ -91,3 +94,44 @@ def test_no_exploded_index_is_broadcast(spark):
     made = plans(spark, lambda: simhash.near_components(fps).collect())
     exploded = [p for p in made if "Generate" in p]
     assert exploded and not any("BroadcastExchange" in p for p in exploded), next(p[:3000] for p in exploded if "BroadcastExchange" in p)
+
+
+def test_no_index_of_sets_is_broadcast(spark):
+    from meshlake.runtime import materialize
+
+    sizes = materialize(spark.range(300).selectExpr("id as sid", "xxhash64(id) as fp"), "sizes")
+    plan = simhash.head_pairs(sizes, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_common_shingles_are_counted_over_all_rows(spark):
+    """More rows than any sample held: the count is that of every row."""
+    n = 70_000
+    docs = spark.range(n).selectExpr("concat('a b c d e w', id) as text")
+    cell = int(simhash.shingle_hashes("a b c d e", 5)[0]) % simhash.CELLS
+    assert simhash.common_cells(docs, 5)[cell] in (round(1000 * math.log2(n + k)) for k in range(4))
+
+
+def test_shingles_are_told_apart_by_words_and_their_order():
+    rng = random.Random(8)
+    made = ["", " ", "A a", "a A a a a a", "a b c d e", "b a c d e", "ab c d e", "abc d e", "a b c d", *(" ".join(rng.choices("abc", k=rng.randint(1, 7))) for _ in range(3000))]
+    seen = {}
+    for text in made:
+        parts, hashes = shingles(text), simhash.shingle_hashes(text, 5)
+        assert len(hashes) == len(parts)
+        assert seen.setdefault(hashes.tobytes(), parts) == parts
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from meshlake.runtime import materialize
+
+    dirs = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    held = lambda: {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*")}
+    before = held()
+    dealt = materialize(spark.range(20_000).repartition(3, "id"), "dealt")
+    for _ in range(50):
+        if not held() - before:
+            break
+        time.sleep(0.1)
+    assert not held() - before
+    assert dealt.count() == 20_000
