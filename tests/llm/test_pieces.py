@@ -135,3 +135,33 @@ def test_query(spark, docs, rows, tmp_path, processor):
         assert (r.n_pieces, r.ids_hash, r.round_trip) == (len(theirs), hashes[k][0], True)
         assert r.scores == [s / pieces.MILLION for s, _ in best] and r.score == r.scores[0]
         assert (r.n_lattice, r.lattice_hash) == (len(best[0][1]), hashes[k][1])
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 6])
+def test_units_walked_together_equal_the_search(n):
+    own = lattice.Segmenter(pieces.vocabulary(MODEL), n)
+    rng = random.Random(n)
+    units = ["".join(rng.choices("▁theranins日𝒳é", k=rng.randint(1, 9))) for _ in range(300)]
+    units += [u for text in texts(8, 400) for u in own.vocab.units(own.vocab.normalize(text))] + ["▁" + "the" * 40, "a" * 64, "a" * 65]
+    units = list(dict.fromkeys(units))
+    numbers = [own.solved[u] for u in units]
+    own.solved.learn()
+    assert numbers == [own.solved[u] for u in units]
+    walked = 0
+    for u in units:
+        walked += own.walk.known(own.walk.letters([u])).all()
+        k, paths = own.solved[u], own.n_paths(u)
+        lost = own.solved.losses[k * (n - 1) : (k + 1) * (n - 1)].tolist()
+        assert (own.solved.score[k], [x for x in lost if x != lattice.NEVER]) == (paths[0][0], [paths[0][0] - p[0] for p in paths[1:]])
+        start, size = own.solved.lattice[0][k], own.solved.lattice[1][k]
+        assert tuple(own.solved.ids[start : start + size]) == paths[0][1]
+        start, size = own.solved.library[0][k], own.solved.library[1][k]
+        assert own.solved.ids[start : start + size].tolist() == own.vocab.merged(u)
+    assert 100 < walked < len(units)
+
+
+def test_query_asks_for_more_than_the_second_best():
+    """The least loss alone gives the second best; a third needs the sums of several."""
+    from meshlake.llm import queries
+
+    assert queries.N_BEST >= 3
