@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshlake.llm.common import WORD, let, text_of
-from meshlake.runtime import materialize
+from meshlake.llm.filters import bitmap_filter, bits_for, maybe_in, surely_out
+from meshlake.runtime import counted, materialize
 
 #: log2 of a sketch's registers; its relative standard error is about 1.04 / 2^(LG_K / 2).
 LG_K = 10
@@ -69,10 +70,16 @@ def line_dedup(docs: DataFrame, min_sites: int = 15, site: str = "source") -> Da
     # Catalyst broadcasts the boilerplate only where its written size is known to be small
     hit = lines.join(found.select("k1", "k2", "first_id"), ["k1", "k2"]).where(~F.col("__id").eqNullSafe(F.col("first_id")))
     gone = hit.groupBy("__id", "__th").agg(F.collect_set("pos").alias("__gone"))
-    gone = materialize(gone, "gone").withColumnsRenamed({"__id": "__id2", "__th": "__th2"})
+    gone, n = counted(gone, "gone")
+    gone = gone.withColumnsRenamed({"__id": "__id2", "__th": "__th2"})
     extra = [c for c in ("n_lines", "n_removed") if c in docs.columns]
     keyed = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").alias("__id"), F.xxhash64("row.text").alias("__th"))
-    both = keyed.join(gone, (keyed["__th"] == gone["__th2"]) & keyed["__id"].eqNullSafe(gone["__id2"]), "left")
+    # only rows that may lose a line are shuffled
+    bits, own = bits_for(n), F.xxhash64("__id", "__th")
+    held = bitmap_filter(gone.select(F.xxhash64("__id2", "__th2").alias("h")), "h", bits)
+    some = maybe_in(keyed, held, own, bits)
+    some = some.join(gone, (some["__th"] == gone["__th2"]) & some["__id"].eqNullSafe(gone["__id2"]), "left").select("row", "__gone")
+    both = surely_out(keyed, held, own, bits).select("row", F.lit(None).cast("array<int>").alias("__gone")).unionByName(some)
     lines_of = F.split(F.coalesce("row.text", F.lit("")), "\n")
     kept = let(F.split("row.text", "\n"), lambda parts: F.filter(parts, lambda x, i: ~F.array_contains(F.col("__gone"), i)))
     text = F.when(F.col("__gone").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))

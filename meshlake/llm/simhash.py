@@ -24,7 +24,7 @@ import pyspark.sql.types as T
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshlake.llm.filters import bitmap_filter, bits_for, maybe_in
+from meshlake.llm.filters import bitmap_filter, bits_for, maybe_in, surely_out
 from meshlake.operators.graph import connected_components
 from meshlake.runtime import counted, discard, materialize, observed, shuffled, worker_cache
 
@@ -219,28 +219,44 @@ def keep_one(docs: DataFrame, words: int = 5, distance: int = 4) -> DataFrame:
     members = sizes.join(copy_components(index, own, sizes, words, distance), "sid", "left")
     stays = members.groupBy(F.coalesce("component", "sid")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("id2"), F.col("first.th").alias("th2"))
     stays = materialize(stays, "stays")
-    both = (own["th"] == F.col("th2")) & own["doc_id"].eqNullSafe(F.col("id2"))
+    both = lambda df: (df["th"] == F.col("th2")) & df["doc_id"].eqNullSafe(F.col("id2"))
     repeated, n_repeated = counted(rows.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("doc_id").alias("id3"), F.col("th").alias("th3")), "repeated")
+    # only rows that may go, or may be repeated, are shuffled with their texts
+    goes, n_goes = counted(rows.select("doc_id", "th").join(stays, both(rows), "left_anti").select(_identity("doc_id", "th")), "goes")
     discard(rows, sizes)
+    bits = bits_for(n_goes + n_repeated)
+    held = bitmap_filter(goes.unionByName(repeated.select(_identity("id3", "th3"))), "h", bits)
+    named = own.withColumn("h", _identity("doc_id", "th"))
+    sure, asked = (f(named, held, F.col("h"), bits).drop("h") for f in (surely_out, maybe_in))
+    # stays names a row but once; a semi-join would be planned below the filter, over all texts
     if not n_repeated:
-        return own.join(stays, both, "left_semi").select("row.*")
+        return sure.select("row").unionByName(asked.join(stays, both(asked)).select("row")).select("row.*")
     # only rows that repeat are compared with each other
     many = (F.col("th2") == F.col("th3")) & F.col("id2").eqNullSafe(F.col("id3"))
-    one = own.join(stays.join(repeated, many, "left_anti"), both, "left_semi")
-    some = own.join(stays.join(repeated, many, "left_semi"), both, "left_semi").dropDuplicates(["doc_id", "th"])
-    return one.unionByName(some).select("row.*")
+    one = asked.join(stays.join(repeated, many, "left_anti"), both(asked))
+    some = asked.join(stays.join(repeated, many, "left_semi"), both(asked)).dropDuplicates(["doc_id", "th"])
+    return sure.select("row").unionByName(one.select("row")).unionByName(some.select("row")).select("row.*")
+
+
+def _identity(doc_id: str, th: str) -> Column:
+    """One hash of what tells rows apart, for filters."""
+    return F.xxhash64(doc_id, th).alias("h")
 
 
 def alike(pairs: DataFrame, own: DataFrame, sizes: DataFrame, words: int) -> DataFrame:
     """The distinct pairs (a, b) of sets whose Jaccard similarity is SHARE or more; only texts of these sets are read."""
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    asked, n = counted(sizes.join(asked, "sid").select("sid", F.col("first.doc_id").alias("id2"), F.col("first.th").alias("th2")), "asked")
+    asked, n = counted(sizes.join(asked, "sid").select(_identity("first.doc_id", "first.th")), "asked")
     bits = bits_for(n)
-    read = maybe_in(own.select("doc_id", "th", "text"), bitmap_filter(asked, "th2", bits), F.col("th"), bits)
-    read = read.join(asked, (F.col("th") == F.col("th2")) & F.col("doc_id").eqNullSafe(F.col("id2")))
-    sets = _each_text(read, ["sid"], "hashes array<long>", lambda t: (shingle_hashes(t, words).view(np.int64),))
-    sets = materialize(sets.dropDuplicates(["sid"]), "sets")
+    read = maybe_in(own.select(_identity("doc_id", "th"), "text"), bitmap_filter(asked, "h", bits), F.col("h"), bits)
+
+    def make(text):
+        # a set's name is made from it, so texts need not meet the names that were asked for
+        hashes = shingle_hashes(text, words)
+        return _set_id(hashes), hashes.view(np.int64)
+
+    sets = materialize(_each_text(read, [], "sid long, hashes array<long>", make).dropDuplicates(["sid"]), "sets")
     p, q = SHARE
     met = pairs.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
     shared = F.size(F.array_intersect("ha", "hb"))
@@ -249,12 +265,20 @@ def alike(pairs: DataFrame, own: DataFrame, sizes: DataFrame, words: int) -> Dat
     return found
 
 
-def head_pairs(sizes: DataFrame, distance: int) -> DataFrame:
-    """(a, b) of sets whose fingerprints are near and meet in an index key: each with the least of its key."""
+def _head_index(sizes: DataFrame, distance: int) -> DataFrame:
     whole, variants = _keys(F.col("fp"), distance)
-    index = shuffled(sizes.select("sid", "fp", F.explode(F.concat(whole, variants)).alias("k")).select("sid", "fp", "k.key"))
-    heads = index.groupBy("key").agg(F.min(F.struct("sid", "fp")).alias("h"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    met = index.join(heads.select("key", F.col("h.sid").alias("b"), F.col("h.fp").alias("fb")), "key")
+    return shuffled(sizes.select("sid", "fp", F.explode(F.concat(whole, variants)).alias("k")).select("sid", "fp", "k.key"))
+
+
+def key_heads(sizes: DataFrame, distance: int) -> DataFrame:
+    """(key, b, fb): the least set of each index key that two or more share. Written, so its shuffle is gone when the index is dealt out again."""
+    heads = _head_index(sizes, distance).groupBy("key").agg(F.min(F.struct("sid", "fp")).alias("h"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    return materialize(heads.select("key", F.col("h.sid").alias("b"), F.col("h.fp").alias("fb")), "heads")
+
+
+def head_pairs(sizes: DataFrame, distance: int, heads: DataFrame | None = None) -> DataFrame:
+    """(a, b) of sets whose fingerprints are near and meet in an index key: each with the least of its key."""
+    met = _head_index(sizes, distance).join(key_heads(sizes, distance) if heads is None else heads, "key")
     return met.where((F.col("sid") != F.col("b")) & near(F.col("fp"), F.col("fb"), distance)).select(F.col("sid").alias("a"), "b")
 
 
@@ -268,8 +292,15 @@ def copy_components(index: DataFrame, own: DataFrame, sizes: DataFrame, words: i
     into their pairs, and no link between components is lost.
     """
     shared = index.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("key")
-    shingled = materialize(index.join(shared, "key").distinct(), "index")
-    links = alike(head_pairs(sizes, distance), own, sizes, words)
+    # of the index only keys that may be shared are shuffled again
+    shared, n = counted(shared, "shared")
+    bits = bits_for(n)
+    shingled = shuffled(maybe_in(index, bitmap_filter(shared, "key", bits), F.col("key"), bits)).join(shared, "key").distinct()
+    shingled = materialize(shingled, "index")
+    discard(shared)
+    heads = key_heads(sizes, distance)
+    links = alike(head_pairs(sizes, distance, heads), own, sizes, words)
+    discard(heads)
     for k in range(ROUNDS + 1):
         component = connected_components(links).toDF("sid", "component")
         parted = materialize(shingled.join(component, "sid", "left").select("key", "sid", "n", F.coalesce("component", "sid").alias("part")), "parts")
