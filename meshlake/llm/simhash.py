@@ -247,21 +247,32 @@ def alike(pairs: DataFrame, own: DataFrame, sizes: DataFrame, words: int) -> Dat
     """The distinct pairs (a, b) of sets whose Jaccard similarity is SHARE or more; only texts of these sets are read."""
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    asked, n = counted(sizes.join(asked, "sid").select(_identity("first.doc_id", "first.th")), "asked")
+    asked, n = counted(sizes.join(asked, "sid").select("sid", F.col("first.th").alias("th2"), _identity("first.doc_id", "first.th").alias("h2")), "asked")
     bits = bits_for(n)
-    read = maybe_in(own.select(_identity("doc_id", "th"), "text"), bitmap_filter(asked, "h", bits), F.col("h"), bits)
-
-    def make(text):
-        # a set's name is made from it, so texts need not meet the names that were asked for
-        hashes = shingle_hashes(text, words)
-        return _set_id(hashes), hashes.view(np.int64)
-
-    sets = materialize(_each_text(read, [], "sid long, hashes array<long>", make).dropDuplicates(["sid"]), "sets")
+    read = maybe_in(own.select(_identity("doc_id", "th"), "th", "text"), bitmap_filter(asked, "h2", bits), F.col("h"), bits)
+    read = read.join(asked, (F.col("th") == F.col("th2")) & (F.col("h") == F.col("h2")))
+    # texts travel, as they compress and their hashes do not
+    texts = materialize(read.select("th2", "h2", "sid", F.col("text").cast("string").alias("text")).dropDuplicates(["th2", "h2"]).select("sid", "text"), "texts")
     p, q = SHARE
-    met = pairs.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
-    shared = F.size(F.array_intersect("ha", "hb"))
-    found = materialize(met.where(shared * (p + q) >= (F.size("ha") + F.size("hb")) * p).select("a", "b"), "alike")
-    discard(pairs, asked, sets)
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            found = []
+            for a, b, ta, tb in zip(*(batch[c] for c in ("a", "b", "ta", "tb")), strict=True):
+                if len(held) >= ROWS:
+                    held.clear()
+                for sid, text in ((a, ta), (b, tb)):
+                    if sid not in held:
+                        held[sid] = shingle_hashes(text, words)
+                ha, hb = held[a], held[b]
+                shared = len(np.intersect1d(ha, hb, assume_unique=True))
+                found.append(shared * (p + q) >= (len(ha) + len(hb)) * p)
+            yield batch.loc[np.array(found, bool), ["a", "b"]]
+
+    met = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
+    found = materialize(met.select("a", "b", "ta", "tb").mapInPandas(each, "a long, b long"), "alike")
+    discard(pairs, asked, texts)
     return found
 
 
