@@ -165,3 +165,21 @@ def test_query_asks_for_more_than_the_second_best():
     from meshlake.llm import queries
 
     assert queries.N_BEST >= 3
+
+
+def test_query_takes_one_worker_a_task(spark, docs, tmp_path):
+    """Each pass of a stage takes a worker of its own from one pool, and in time all of them hold a segmenter."""
+    from meshlake.llm import queries
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    plan = queries.op4_sentencepiece(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1
+
+
+def test_decoding_in_the_same_pass(spark):
+    rows = [(1, "Hello  world\n"), (2, None), (3, ""), (None, "日本 \0𝒳é " * 400), (1, "▁a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    encoded = lattice.encode_documents(docs, ["doc_id"], paths=False, decoded="back")
+    assert encoded.columns == ["doc_id", "ids", "n_pieces", "scores", "back"]
+    assert [r.back for r in encoded.collect()] == [(t or "").replace("▁", " ") for _, t in rows]
+    assert [r.text for r in lattice.decode_documents(encoded, ["doc_id"]).collect()] == [r.back for r in encoded.collect()]
