@@ -183,3 +183,62 @@ def test_decoding_in_the_same_pass(spark):
     assert encoded.columns == ["doc_id", "ids", "n_pieces", "scores", "back"]
     assert [r.back for r in encoded.collect()] == [(t or "").replace("▁", " ") for _, t in rows]
     assert [r.text for r in lattice.decode_documents(encoded, ["doc_id"]).collect()] == [r.back for r in encoded.collect()]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 6])
+def test_all_n_best_segmentations_are_whole(n, monkeypatch):
+    """Not only the scores: each of the n best of a text with its identifiers, equal ones in one order."""
+    own = lattice.Segmenter(pieces.vocabulary(MODEL), n)
+    some = [*texts(10, 200), None, "", "the the the then the", "a" * 70 + " " + "ab" * 40, "day " * 300, "日本 \0𝒳é " * 40]
+    for length in (lattice.LONG_UNIT, 3):
+        # short units are searched side by side, others alone
+        monkeypatch.setattr(lattice, "LONG_UNIT", length)
+        own.solved.renew()
+        for text, (library, best, following, scores) in zip(some, own.encode_all(some), strict=True):
+            paths = [best, *[lattice.spliced(best, x) for x in following]]
+            listed = own.n_encodings(text)
+            assert scores == [s / pieces.MILLION for s, _ in listed]
+            assert [p.tolist() for p in paths] == [p for _, p in listed]
+            assert len({tuple(p.tolist()) for p in paths}) == len(paths)
+            assert library.tolist() == own.vocab.processor.encode(text or "")
+            for p in paths:
+                assert lattice.decode(own.vocab, p.tolist()) == (text or "").replace("▁", " ")
+
+
+def test_paths_outlast_the_next_slice():
+    own = lattice.Segmenter(pieces.vocabulary(MODEL), 3)
+    held = [(t, made) for k in range(5) for t in [texts(20 + k, 40)] for made in [own.encode_all(t)]]
+    for some, made in held:
+        for text, (_, best, following, _) in zip(some, made, strict=True):
+            assert [lattice.decode(own.vocab, lattice.spliced(best, x).tolist()) for x in following] == [text.replace("▁", " ")] * len(following)
+
+
+def test_every_unit_is_searched_backward():
+    """Side by side or alone, equal paths too come in the order of the search."""
+    own = lattice.Segmenter(pieces.vocabulary(MODEL), 5)
+    rng = random.Random(12)
+    units = list(dict.fromkeys("".join(rng.choices("▁thearinsaaab", k=rng.randint(1, 14))) for _ in range(400)))
+    numbers = [own.solved[u] for u in units]
+    own.solved.learn()
+    for k, u in zip(numbers, units, strict=True):
+        paths = own.n_paths(u)
+        assert [tuple(own.solved.path(k, c).tolist()) for c in range(len(paths))] == [p for _, p in paths]
+
+
+def test_query_keeps_the_next_segmentations(spark, docs, rows, tmp_path):
+    from pyspark.sql import functions as F
+
+    from meshlake.llm import queries
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op4_sentencepiece(spark, str(tmp_path)).collect()}
+    whole = {r.doc_id: r for r in lattice.encode_documents(docs, ["doc_id"], n_best=queries.N_BEST).collect()}
+    own = lattice.Segmenter(pieces.vocabulary(MODEL), queries.N_BEST)
+    listed = {doc_id: [p for _, p in own.n_encodings(text)] for doc_id, text, *_ in rows}
+    hashed = spark.createDataFrame([(d, k, p) for d, paths in listed.items() for k, p in enumerate(paths)], "d long, k int, p array<int>")
+    hashes = {(r.d, r.k): r.h for r in hashed.select("d", "k", F.xxhash64("p").alias("h")).collect()}
+    assert max(map(len, listed.values())) == queries.N_BEST
+    for doc_id, paths in listed.items():
+        assert [whole[doc_id].lattice_ids, *whole[doc_id].next_ids] == paths
+        assert got[doc_id].next_sizes == [len(p) for p in paths[1:]]
+        assert got[doc_id].next_hashes == [hashes[doc_id, k] for k in range(1, len(paths))]
